@@ -7,11 +7,14 @@ where every source reaches its target (time 1) spends the total budget.
 
 The cumulative sums never sort a whole source in one task: documents are dealt
 into hash ranges, the ranges are summed first, and only the documents of one
-range are sorted together. The number of ranges follows the number of rows.
+range are sorted together. There are as many ranges as the root of the number
+of rows, so that neither the ranges of a source nor the rows of a range are many.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -22,7 +25,6 @@ from lanternwatch.llm.common import SPACE_WORD
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET_SHARE = 1.5
 MAX_REPEATS = 2
-ROWS_PER_RANGE = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -63,7 +65,7 @@ def schedule(docs: DataFrame, seed: int = 17, max_repeats: int = MAX_REPEATS, **
     its own; repeated rows are separate documents.
     """
     rows = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("_h"))
-    spread = max(1, -(-docs.count() // ROWS_PER_RANGE))
+    spread = max(1, math.isqrt(docs.count()))
     rows = rows.withColumn("_b", F.pmod(F.shiftright("_h", 8), F.lit(spread)))
     sums = rows.groupBy("source", "_b").agg(F.sum("size").alias("_s"))
     before = W.partitionBy("source").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lanternwatch.llm import decontamination, mixing
+from lanternwatch.llm import decontamination, htmltext, langid, lines, minhash, mixing, quality, toxicity
 from lanternwatch.llm.common import table
 
 ASCII_LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -12,6 +12,30 @@ def op1_decontamination(spark, sf_dir):
     return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("k")
+
+
+def op3_html_extraction(spark, sf_dir):
+    return htmltext.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op4_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_line_dedup(spark, sf_dir):
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -37,5 +61,47 @@ SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIG
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op8_mixing": op8_mixing}
-ORACLE_SQL = {"op1_decontamination": OP1_SQL}
+OP2_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER_SQL.format("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+n AS (SELECT doc_id, w, least(len(w), 4) AS n FROM d WHERE len(w) > 0),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + n - 1], ' ') AS s, n FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM n)),
+sizes AS (SELECT doc_id, count(*) AS c FROM sh GROUP BY 1),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM sh x JOIN sh y ON x.s = y.s AND x.n = y.n AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * i >= 80 * (p.c + q.c - i)),
+reach AS (SELECT a AS doc_id, a AS other FROM links UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other),
+comp AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(c, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id,
+       least(d.doc_id, coalesce(m, d.doc_id)) = d.doc_id AS kept
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN comp USING (doc_id)
+"""
+
+OP5_SQL = r"""
+WITH raw AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+masked AS (SELECT doc_id, line_no, raw, trim(regexp_replace(regexp_replace(raw, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM raw),
+lines AS (SELECT doc_id, line_no, line, t, len(t) AS n, array_to_string(t[1:4], ' ') AS lead FROM (SELECT *, string_split(line, ' ') AS t FROM masked WHERE line <> '') WHERE len(t) >= 3),
+busy AS (SELECT n, lead FROM lines GROUP BY ALL HAVING count(*) >= 10),
+dist AS (SELECT n, lead, line, t, count(DISTINCT doc_id) AS docs FROM lines JOIN busy USING (n, lead) GROUP BY ALL),
+tok AS (SELECT n, lead, line, docs, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS token FROM dist),
+common AS (SELECT n, lead, pos, token, TRUE AS c FROM tok WHERE pos >= 4 AND token <> '<*>' GROUP BY ALL HAVING sum(docs) >= 10),
+marked AS (SELECT tok.*, coalesce(c, pos < 4 AND token <> '<*>') AS fixed FROM tok LEFT JOIN common USING (n, lead, pos, token)),
+temp AS (SELECT n, lead, line, string_agg(CASE WHEN fixed THEN token ELSE '<*>' END, ' ' ORDER BY pos) AS template FROM marked GROUP BY 1, 2, 3 HAVING avg(fixed::INT) >= 0.5),
+placed AS (SELECT doc_id, line_no, n, lead, template FROM lines JOIN temp USING (n, lead, line)),
+rec AS (SELECT n, lead, template, min((doc_id, line_no)) AS f FROM placed GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
+drops AS (SELECT doc_id, line_no FROM placed JOIN rec USING (n, lead, template) WHERE (doc_id, line_no) <> f),
+kept AS (SELECT doc_id, count(*) AS n_lines, count(d.line_no) AS n_dropped, string_agg(CASE WHEN d.line_no IS NULL THEN raw END, chr(10) ORDER BY line_no) AS t
+         FROM raw LEFT JOIN drops d USING (doc_id, line_no) GROUP BY 1)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_minhash": op2_minhash,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_language_id": op4_language_id,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_quality": op6_quality,
+    "op8_mixing": op8_mixing,
+    "op9_toxicity": op9_toxicity,
+}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op2_minhash": OP2_SQL, "op5_line_dedup": OP5_SQL}
