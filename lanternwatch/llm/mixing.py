@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lanternwatch.llm.common import SPACE_WORD
+from lanternwatch.llm.common import SPACE_WORD, doc_key
 
 #: Weights dealt to the sources in code point order, null last, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -59,12 +59,12 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget_share=BUDGET_SHARE,
 def schedule(docs: DataFrame, seed: int = 17, max_repeats: int = MAX_REPEATS, **targets) -> DataFrame:
     """Every document with ``size, source_size, target, finish`` (virtual finish times of its copies) and ``n_taken``.
 
-    Columns: ``doc_id, source, size, source_size, target, finish array<double>,
+    Columns: ``k`` (the row's key), ``doc_id, source, size, source_size, target, finish array<double>,
     n_taken``. A copy is taken if it starts before, and lies by more than half
     below, its source's target. Null text counts 0 words; null is a source of
     its own; repeated rows are separate documents.
     """
-    rows = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("_h"))
+    rows = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("_h"), doc_key(F.col("doc_id"), F.col("text")).alias("k"))
     spread = max(1, math.isqrt(docs.count()))
     rows = rows.withColumn("_b", F.pmod(F.shiftright("_h", 8), F.lit(spread)))
     sums = rows.groupBy("source", "_b").agg(F.sum("size").alias("_s"))
@@ -77,7 +77,7 @@ def schedule(docs: DataFrame, seed: int = 17, max_repeats: int = MAX_REPEATS, **
     joined = cumulated.alias("d").join(ranges.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d._b") == F.col("r._b")))
     copies = F.array(*[F.col("_off") + F.col("_cum") + F.lit(e) * F.col("source_size") for e in range(max_repeats)])
     return joined.select(
-        "doc_id", F.col("d.source").alias("source"), "size", "source_size", "target",
+        "k", "doc_id", F.col("d.source").alias("source"), "size", "source_size", "target",
         F.transform(copies, lambda c: F.when(F.col("target") > 0, c / F.col("target")).otherwise(F.lit(0.0))).alias("finish"),
         F.size(F.filter(copies, lambda c: (F.col("size") > 0) & (c - F.col("size") / 2 <= F.col("target")))).cast("long").alias("n_taken"),
     )
@@ -92,6 +92,19 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     )
 
 
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """The documents themselves, one row per taken copy: all columns, ``epoch`` and ``finish``.
+
+    The order of the mixture is that of ``finish``; texts are not sorted by it,
+    only dealt once to meet their schedule. Rows equal in id and text share one
+    schedule. Columns of the input named ``epoch`` or ``finish`` are replaced.
+    """
+    plan = schedule(docs, **options).where("n_taken > 0").groupBy("k").agg(F.first("finish").alias("_finish"), F.max("n_taken").cast("int").alias("_n"))
+    columns = [c for c in docs.columns if c not in ("epoch", "finish")]
+    joined = docs.select(*columns, doc_key(F.col("doc_id"), F.col("text")).alias("_dk")).join(plan, F.col("_dk") == F.col("k"))
+    return joined.select(*columns, F.posexplode(F.slice("_finish", F.lit(1), F.col("_n"))).alias("epoch", "finish"))
+
+
 def mix_report(docs: DataFrame) -> DataFrame:
     """Digest of the schedule, one row per document."""
     return schedule(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_taken")).alias("taken"), "source", "n_taken")
