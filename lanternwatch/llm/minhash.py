@@ -7,11 +7,12 @@ place it may be wrong in, under its other places. With 64 minima in 16 chunks
 this finds every pair within distance 31, while a pair of similarity 0.8
 differs in 12.8 places on average (31 lies 5.7 standard deviations above).
 
-Equal sets are one node from the start. Buckets are never expanded into all
-their pairs: each bucket compares its members with one drawn leader, the links
-found merge components, and members of one component need no more comparison.
-When few pairs are left that share a bucket across components, exactly those
-are compared, so no component is missed however large a bucket is.
+Equal sets are one node from the start. Buckets are never expanded into pairs.
+First each bucket compares its members with one drawn leader, and the links
+found merge components. Buckets that still hold several components are then
+compared whole, in blocks, inside tasks: signatures first, each pair only in
+the first bucket it shares, then sets. What leaves a task are the members with
+a plausible partner, and in the end just enough links to join the components.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ K, CHUNKS = 64, 16
 SHINGLE_WORDS = 4
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Leader rounds end once the pairs left across components number at most this many times the bucket rows.
-PAIRS_PER_ROW = 2
+#: Members of a bucket that are compared in one task with as many others.
+BLOCK = 1024
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 2**64, K, dtype=np.uint64) | np.uint64(1)
@@ -101,7 +102,8 @@ def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"node": pdf["node"], "members": [shingle_set(t).tobytes() for t in pdf["text"]]})
+        sets = [shingle_set(t) for t in pdf["text"]]
+        yield pd.DataFrame({"node": pdf["node"], "members": [s.tobytes() for s in sets], "low": [s.astype(np.uint32).tobytes() for s in sets]})
 
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,44 +118,130 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs ``a, b``, those whose full sets are similar enough."""
-    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
-    pairs = pairs.where(near).select("a", "b").distinct()
+    pairs = pairs.select("a", "b").distinct()
     xs, ys = sets.select(F.col("node").alias("a"), F.col("members").alias("x")), sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
     return pairs.join(xs, "a").join(ys, "b").select("a", "b", "x", "y").mapInPandas(_confirm, "a binary, b binary")
 
 
+def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Frames of whole groups of sorted input, with the rows at which the groups start."""
+    left = None
+    for pdf in batches:
+        pdf = pdf if left is None else pd.concat([left, pdf], ignore_index=True)
+        new = np.append(True, (pdf[by].to_numpy()[1:] != pdf[by].to_numpy()[:-1]).any(axis=1))[: len(pdf)]
+        starts = np.flatnonzero(new)
+        if len(starts) > 1:
+            yield pdf.iloc[: starts[-1]], starts[:-1]
+        left = pdf.iloc[starts[-1] :].reset_index(drop=True) if len(starts) else None
+    if left is not None and len(left):
+        yield left, np.array([0])
+
+
+def _pairs(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of different labels and fitting sizes within one group, in slices; only across blocks if there are two."""
+    label, n, block = pd.factorize(pdf["label"])[0], pdf["n"].to_numpy(), pdf["block"].to_numpy()
+    two = block.min() != block.max()
+    for i in range(0, len(pdf), 256):
+        at = np.arange(i, min(i + 256, len(pdf)))
+        fits = (label[at, None] != label) & (np.minimum(n[at, None], n) * 100 >= np.maximum(n[at, None], n) * PERCENT)
+        fits &= (block[at, None] < block) if two else (at[:, None] < np.arange(len(pdf)))
+        x, y = np.nonzero(fits)
+        for k in range(0, len(x), 1 << 18):
+            yield at[x[k : k + (1 << 18)]], y[k : k + (1 << 18)]
+
+
+def _first_shared(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distance of signatures, and the first chunk and wrong place whose key both have (-1: none)."""
+    r = K // CHUNKS
+    differ = (x != y).reshape(-1, CHUNKS, r)
+    wrong = differ.sum(axis=2)
+    chunk = (wrong <= 1).argmax(axis=1)
+    here = np.take_along_axis(differ, chunk[:, None, None], 1)[:, 0]
+    return wrong.sum(axis=1), np.where((wrong <= 1).any(axis=1), chunk, -1), np.where(here.any(axis=1), here.argmax(axis=1), 0)
+
+
+def _plausible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of a bucket that have a partner of another label within the distance, for which this is the first bucket they share."""
+    for pdf, starts in _groups(batches, ["key", "lo", "hi"]):
+        keep = np.zeros(len(pdf), bool)
+        sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, K)
+        keys = pdf["key"].to_numpy()
+        for a, b in zip(starts, np.append(starts, len(pdf))[1:], strict=True):
+            own = index_keys(sigs[a : a + 1].astype(np.uint64))[0]
+            place = int(np.flatnonzero(own == keys[a])[0])
+            for i, j in _pairs(pdf.iloc[a:b]):
+                distance, chunk, wrong = _first_shared(sigs[a + i], sigs[a + j])
+                near = (distance < 2 * CHUNKS) & (chunk + CHUNKS * wrong == place)
+                keep[a + i[near]] = keep[a + j[near]] = True
+        yield pdf.loc[keep, ["key", "lo", "hi", "block", "node", "label", "n"]]
+
+
+def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links between different labels of a bucket, only as many as join the labels up."""
+    for pdf, starts in _groups(batches, ["key", "lo", "hi"]):
+        out, nodes = [], pdf["node"].to_numpy()
+        for a, b in zip(starts, np.append(starts, len(pdf))[1:], strict=True):
+            part = pdf.iloc[a:b]
+            sets = [np.frombuffer(m, np.uint32) for m in part["members"]]
+            owner, flat = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+            _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+            shared = count[code] > 1  # the vocabulary that matters
+            _, code = np.unique(code[shared], return_inverse=True)
+            member = np.zeros((len(sets), int(code.max()) + 1 if len(code) else 1), np.float32)
+            np.add.at(member, (owner[shared], code), 1)
+            n, label = part["n"].to_numpy(), pd.factorize(part["label"])[0]
+            root = {}
+
+            def find(x, root=root):
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            for i, j in _pairs(part):
+                rows, back = np.unique(i, return_inverse=True)
+                both = (member[rows] @ member.T)[back, j]
+                linked = np.flatnonzero(100 * both >= PERCENT * (n[i] + n[j] - both))
+                for x, y in zip(i[linked], j[linked], strict=True):
+                    p, q = find(label[x]), find(label[y])
+                    if p != q:
+                        root[p] = q
+                        out.append((nodes[a + x], nodes[a + y]))
+        yield pd.DataFrame(out, columns=["a", "b"])
+
+
 def _node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, root`` for the nodes that share a bucket with another."""
     keys = nodes.select("node", "n", "sig").mapInPandas(_index, "key long, node binary, n long")
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    keys = materialize(keys.join(shared, "key"), "buckets")
+    shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("b"), F.col("n").alias("nb"))).alias("lead")).where("c > 1")
+    keys = materialize(keys.join(shared.select("key", "c", "lead.b", "lead.nb"), "key"), "buckets")
     suspects = keys.select("node").distinct().join(nodes.select("node", "k"), "node")
     texts = docs.select(doc_key(F.col("doc_id"), F.col("text")).alias("k"), "text").join(suspects, "k").dropDuplicates(["node"])
-    sets = materialize(texts.select("node", "text").mapInPandas(_sets, "node binary, members binary"), "sets")
-    labels, edges, turn = None, None, 0
-    while True:
-        rows = keys.withColumn("label", F.col("node")) if labels is None else keys.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        if turn:
-            per_label = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
-            left = per_label.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count("*").alias("l")).where("l > 1")
-            open_keys = materialize(left.select("key", "c", ((F.col("c") * F.col("c") - F.col("cc")) / 2).cast("long").alias("pairs")), "open")
-            total = open_keys.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("p")).first()
-            if not total["p"]:
-                return labels
-            rows = materialize(rows.join(open_keys.select("key"), "key"), "buckets")
-            keys = rows.select("key", "node", "n")
-            if total["p"] <= PAIRS_PER_ROW * total["c"]:
-                x = rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-                y = rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-                found = _linked(x.join(y, "key").where("la < lb"), sets)
-                return contract(materialize(edges.union(found), "edges"))
-        lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))).alias("lead")
-        leaders = rows.groupBy("key").agg(lead).select("key", "lead.b", "lead.nb", "lead.lb")
-        pairs = rows.join(leaders, "key").where("label != lb").select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb")
-        found = materialize(_linked(pairs, sets), "edges")
-        edges = found if edges is None else edges.union(found)
-        labels = contract(edges)
-        turn += 1
+    sets = materialize(texts.select("node", "text").mapInPandas(_sets, "node binary, members binary, low binary"), "sets")
+    # every member of a bucket against its leader
+    near = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * PERCENT
+    pairs = keys.where(near & (F.col("node") != F.col("b"))).select(F.col("node").alias("a"), "b")
+    labels = contract(_linked(pairs, sets))
+    # what is left across components
+    labelled = keys.join(labels, "node", "left").select("key", "c", "node", "n", F.coalesce("root", "node").alias("label"))
+    mixed = labelled.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("key")
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    rows = labelled.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label", "n").join(nodes.select("node", "sig"), "node")
+    plausible = materialize(_by_bucket(rows).mapInPandas(_plausible, "key long, lo int, hi int, block int, node binary, label binary, n long"), "plausible")
+    found = _by_bucket(plausible.join(sets.select("node", F.col("low").alias("members")), "node")).mapInPandas(_forest, "a binary, b binary")
+    confirmed = materialize(_linked(found, sets), "edges")
+    if confirmed.isEmpty():
+        return labels
+    to = labels.withColumnRenamed("root", "label")
+    at = lambda c: F.coalesce(f"{c}_label", c).alias(c)
+    edges = confirmed.join(to.select(F.col("node").alias("a"), F.col("label").alias("a_label")), "a", "left").join(to.select(F.col("node").alias("b"), F.col("label").alias("b_label")), "b", "left").select(at("a"), at("b"))
+    merged = contract(edges)
+    roots = labels.select("node", F.col("root").alias("old")).unionByName(merged.select("node", F.col("node").alias("old")))
+    return roots.join(merged.select(F.col("node").alias("old"), "root"), "old", "left").select("node", F.coalesce("root", "old").alias("root")).distinct()
+
+
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
