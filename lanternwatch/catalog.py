@@ -1,6 +1,6 @@
-"""Registered queries of the engine with their oracle SQL, side by side."""
+"""All registered queries of the engine with their oracle SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lanternwatch.plans import activity, content, policy  # noqa: F401
+from lanternwatch.plans.common import ORACLE_SQL, QUERIES  # noqa: F401
