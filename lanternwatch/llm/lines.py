@@ -27,31 +27,40 @@ MIN_FIXED = 0.5
 #: Up to so many frequent leaves (8 bytes each) are broadcast; more join by shuffle.
 MAX_BROADCAST_LEAVES = 500_000
 SPACES = r"[\x20\x09-\x0D]+"
-VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
+#: A token with a digit, from its start; possessive, so that prose is passed over in linear time.
+VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
 def line_table(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``k, doc_id, line_no`` (from 0), ``line`` (masked, single spaces), ``n_tokens, leaf`` of every line."""
     rows = docs.select(doc_key(F.col("doc_id"), F.col("text")).alias("k"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    masked = rows.withColumn("line", F.trim(F.regexp_replace(F.regexp_replace("raw", VARIABLE, "<*>"), SPACES, " ")))
-    counted = masked.withColumn("n_tokens", F.when(F.col("line") == "", 0).otherwise(F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1))
-    return counted.select("k", "doc_id", "line_no", "line", "n_tokens", F.xxhash64("n_tokens", F.substring_index("line", " ", depth)).alias("leaf"))
+    masked = F.when(F.col("raw").rlike("[0-9]"), F.regexp_replace("raw", VARIABLE, "<*>")).otherwise(F.col("raw"))
+    spaced = F.when(masked.rlike("[\\x09-\\x0D]|  "), F.regexp_replace(masked, SPACES, " ")).otherwise(masked)
+    lines = rows.select("k", "doc_id", "line_no", F.trim(spaced).alias("line"))
+    n_tokens = F.when(F.col("line") == "", 0).otherwise(F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1)
+    counted = lines.withColumn("n_tokens", n_tokens)
+    return counted.withColumn("leaf", F.xxhash64("n_tokens", F.substring_index("line", " ", depth)))
 
 
 def recurring_lines(docs: DataFrame, depth=DEPTH, min_docs=MIN_DOCS, min_tokens=MIN_TOKENS, min_fixed=MIN_FIXED) -> DataFrame:
-    """``k, line_no`` of the lines to drop."""
-    lines = line_table(docs, depth).where(F.col("n_tokens") >= min_tokens)
-    leaves = materialize(lines.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("leaf"), "leaves")
+    """``k, line_no`` of the lines to drop. Lines travel as hashes; only distinct lines of frequent leaves travel as text."""
+    lines = line_table(docs, depth)
+    wanted = F.when(F.col("n_tokens") >= min_tokens, F.col("leaf"))
+    leaves = materialize(lines.groupBy(wanted.alias("leaf")).agg(F.count("*").alias("c")).where((F.col("c") >= min_docs) & F.col("leaf").isNotNull()).select("leaf"), "leaves")
     small = leaves.count() <= MAX_BROADCAST_LEAVES
-    lines = materialize(lines.join(F.broadcast(leaves) if small else leaves, "leaf"), "lines")
+    hashed = lines.withColumn("h", F.xxhash64("line"))
+    lines = materialize(hashed.join(F.broadcast(leaves) if small else leaves, "leaf").where(F.col("n_tokens") >= min_tokens).select("k", "doc_id", "line_no", "leaf", "h", "line"), "lines")
     # distinct lines, with the number of documents that hold them
-    distinct = lines.select("leaf", "line", "k").distinct().groupBy("leaf", "line").agg(F.count("*").alias("docs"))
-    tokens = distinct.select("leaf", "line", "docs", F.posexplode(F.split("line", " ")).alias("pos", "token"))
-    common = tokens.where((F.col("pos") >= depth) & (F.col("token") != "<*>")).groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf", "pos", "token", F.lit(True).alias("fixed"))
-    marked = tokens.join(common, ["leaf", "pos", "token"], "left").withColumn("fixed", F.coalesce("fixed", (F.col("pos") < depth) & (F.col("token") != "<*>")))
-    shown = F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("fixed"), F.col("token")).otherwise("<*>").alias("t"))))["t"]
-    templates = marked.groupBy("leaf", "line").agg(F.concat_ws(" ", shown).alias("template"), F.avg(F.col("fixed").cast("int")).alias("share"))
-    placed = lines.join(templates.where(F.col("share") >= min_fixed), ["leaf", "line"]).select("k", "doc_id", "line_no", "leaf", "template")
+    n_docs = lines.select("leaf", "h", "k").distinct().groupBy("leaf", "h").agg(F.count("*").alias("docs"))
+    distinct = materialize(lines.groupBy("leaf", "h").agg(F.first("line").alias("line")).join(n_docs, ["leaf", "h"]), "distinct-lines")
+    tokens = distinct.select("leaf", "h", "docs", F.posexplode(F.split("line", " ")).alias("pos", "token")).where((F.col("pos") >= depth) & (F.col("token") != "<*>"))
+    tokens = tokens.select("leaf", "h", "docs", "pos", F.xxhash64("pos", "token").alias("token"))
+    common = tokens.groupBy("leaf", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf", "token")
+    fixed = tokens.join(common, ["leaf", "token"]).groupBy("leaf", "h").agg(F.collect_set("pos").alias("fixed"))
+    parts = distinct.join(fixed, ["leaf", "h"], "left").select("leaf", "h", F.split("line", " ").alias("t"), F.coalesce("fixed", F.array().cast("array<int>")).alias("fixed"))
+    shown = F.transform("t", lambda t, i: F.when((i < depth) | F.array_contains("fixed", i), t).otherwise("<*>"))
+    templates = parts.select("leaf", "h", shown.alias("shown")).select("leaf", "h", F.xxhash64("shown").alias("template"), (F.size(F.filter("shown", lambda t: t != "<*>")) / F.size("shown")).alias("share"))
+    placed = lines.select("k", "doc_id", "line_no", "leaf", "h").join(templates.where(F.col("share") >= min_fixed).select("leaf", "h", "template"), ["leaf", "h"])
     # a line and its document, merged before documents are counted
     per_doc = placed.groupBy("leaf", "template", "k").agg(F.min(F.struct("doc_id", "k", "line_no")).alias("first"))
     recurring = per_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs)
