@@ -39,7 +39,7 @@ SPAN = LEFT + LENGTH
 SIDE = 17  # one of the sides of an anchor has at least so many bytes of a window
 #: Bytes of text a task hashes at once, which bounds its memory; longer texts go in overlapping pieces.
 PIECE = 1 << 21
-DOCS_PER_GROUP = 256
+DOCS_PER_GROUP = 1024
 
 _rng = np.random.default_rng(77)
 _BYTE = _rng.integers(1, 2**63, 257, dtype=np.uint64) | np.uint64(1)
@@ -316,7 +316,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     where a cut falls inside a character, hence ``binary``.
     """
     n = docs.count()
-    buckets = 1 << min(13, max(9, (n // 250).bit_length()))
+    # few enough that a packed run holds hundreds of rows, many enough that a task's share stays small
+    buckets, routes = 1 << min(13, max(8, (n // 4000).bit_length())), 1 << min(13, max(5, (n // 8000).bit_length()))
     groups = max(61, n // DOCS_PER_GROUP) | 1
     no_id = F.col("doc_id").isNull()
     rows = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), no_id.alias("no_id"), "text")
@@ -325,7 +326,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     # the same exchange of the texts serves both joins below
     placed = rows.withColumn("g", F.pmod("id", F.lit(groups))).groupBy("g")
     asked = compared.where("request").select("g", "blob").groupBy("g")
-    fetched = placed.cogroup(asked).applyInPandas(_fetch(buckets), "bucket int, side int, blob binary, spans binary")
+    fetched = placed.cogroup(asked).applyInPandas(_fetch(routes), "bucket int, side int, blob binary, spans binary")
     more = fetched.groupBy("bucket").applyInPandas(_windows(groups), "g long, blob binary")
     flags = compared.where("not request").select("g", "blob").unionByName(more).groupBy("g")
     schema = "id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
