@@ -99,9 +99,9 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     only dealt once to meet their schedule. Rows equal in id and text share one
     schedule. Columns of the input named ``epoch`` or ``finish`` are replaced.
     """
-    plan = schedule(docs, **options).where("n_taken > 0").groupBy("k").agg(F.first("finish").alias("_finish"), F.max("n_taken").cast("int").alias("_n"))
+    plan = schedule(docs, **options).where("n_taken > 0").groupBy("k").agg(F.first("finish").alias("_finish"), F.max("n_taken").cast("int").alias("_n")).withColumnRenamed("k", "_pk")
     columns = [c for c in docs.columns if c not in ("epoch", "finish")]
-    joined = docs.select(*columns, doc_key(F.col("doc_id"), F.col("text")).alias("_dk")).join(plan, F.col("_dk") == F.col("k"))
+    joined = docs.select(*columns, doc_key(F.col("doc_id"), F.col("text")).alias("_dk")).join(plan, F.col("_dk") == F.col("_pk"))
     return joined.select(*columns, F.posexplode(F.slice("_finish", F.lit(1), F.col("_n"))).alias("epoch", "finish"))
 
 
