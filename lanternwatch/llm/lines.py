@@ -34,12 +34,15 @@ VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 def line_table(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``k, doc_id, line_no`` (from 0), ``line`` (masked, single spaces), ``n_tokens, leaf`` of every line."""
     rows = docs.select(doc_key(F.col("doc_id"), F.col("text")).alias("k"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    masked = F.when(F.col("raw").rlike("[0-9]"), F.regexp_replace("raw", VARIABLE, "<*>")).otherwise(F.col("raw"))
-    spaced = F.when(masked.rlike("[\\x09-\\x0D]|  "), F.regexp_replace(masked, SPACES, " ")).otherwise(masked)
-    lines = rows.select("k", "doc_id", "line_no", F.trim(spaced).alias("line"))
-    n_tokens = F.when(F.col("line") == "", 0).otherwise(F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1)
+    masked = F.regexp_replace(F.regexp_replace("raw", VARIABLE, "<*>"), SPACES, " ")
+    plain = ~F.col("raw").rlike("[0-9\\x09-\\x0D]|  ")  # most prose: nothing to mask or squeeze
+    lines = rows.select("k", "doc_id", "line_no", F.trim(F.when(plain, F.col("raw")).otherwise(masked)).alias("line"))
+    n_tokens = F.when(F.col("line") == "", 0).otherwise(F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1)
     counted = lines.withColumn("n_tokens", n_tokens)
-    return counted.withColumn("leaf", F.xxhash64("n_tokens", F.substring_index("line", " ", depth)))
+    leaf = F.xxhash64("n_tokens", F.substring_index("line", " ", depth))
+    # exploding an array of one keeps filters above from computing the line once more below
+    once = counted.select("k", "doc_id", "line_no", F.explode(F.array(F.struct("line", "n_tokens", leaf.alias("leaf")))).alias("l"))
+    return once.select("k", "doc_id", "line_no", "l.*")
 
 
 def recurring_lines(docs: DataFrame, depth=DEPTH, min_docs=MIN_DOCS, min_tokens=MIN_TOKENS, min_fixed=MIN_FIXED) -> DataFrame:
