@@ -70,15 +70,18 @@ def unicode_tricks(text: Column, plain: Column) -> Column:
 
 
 def encoded(text: Column) -> Column:
-    """Standard patterns inside base64, hex and percent-encoded runs that decode to printable text."""
+    """Standard patterns inside base64, hex and percent-encoded runs that decode to printable text.
+
+    The runs are plain character classes: Java matches repeated alternatives by recursion, which long runs overflow.
+    """
 
     def readable(raw: Column) -> Column:
         s = F.try_validate_utf8(raw.cast("string"))
         return F.when((F.length(s) >= 8) & ~s.rlike(r"[\x00-\x08\x0E-\x1F]"), s)
 
     b64 = F.transform(F.filter(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9+/]{20,}={0,2}"), F.lit(0)), lambda m: F.length(m) % 4 == 0), lambda m: readable(F.try_to_binary(m, F.lit("base64"))))
-    hexes = F.transform(F.filter(F.regexp_extract_all(text, F.lit(r"\b(?:[0-9a-fA-F]{2}){20,}\b"), F.lit(0)), lambda m: F.length(m) % 2 == 0), lambda m: readable(F.try_to_binary(m, F.lit("hex"))))
-    percent = F.transform(F.regexp_extract_all(text, F.lit(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~-]){8,}"), F.lit(0)), lambda m: F.when(m.contains("%"), F.try_url_decode(m)))
+    hexes = F.transform(F.filter(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])[0-9a-fA-F]{40,}(?![A-Za-z0-9_])"), F.lit(0)), lambda m: F.length(m) % 2 == 0), lambda m: readable(F.try_to_binary(m, F.lit("hex"))))
+    percent = F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_.~%+-]{8,}"), F.lit(0)), lambda m: F.when(m.contains("%"), F.try_url_decode(m)))
     inner = F.array_compact(F.concat(b64, hexes, percent))
     return F.array_distinct(F.flatten(F.transform(inner, lambda x: matches(x, STANDARD, "encoded"))))
 
