@@ -17,14 +17,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, recurring lines cut from their texts; ``n_chars`` follows."""
-    cut = lines.dedup_lines(docs).drop("n_lines", "n_dropped")
-    return cut.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
+    """All documents, recurring lines cut from their texts; ``n_chars`` follows. Near-copies stay whole for the next stage."""
+    return _resized(lines.dedup_templates(docs))
+
+
+def _resized(cut: DataFrame) -> DataFrame:
+    return cut.drop("n_lines", "n_dropped").withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return minhash.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates; then passages that stand in several of those left are cut from all but the first."""
+    return _resized(lines.dedup_passages(materialize(minhash.drop_near_duplicates(docs), "distinct-docs")))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

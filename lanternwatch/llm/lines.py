@@ -7,6 +7,10 @@ otherwise; a line with its variable tokens masked is its template. Templates
 that recur in at least ``min_docs`` documents are dropped, except for their
 first occurrence, so that a copied document is whole in one place.
 
+A line that recurs unchanged needs no template: one of ``LONG_TOKENS`` tokens
+and more is dropped from the second document on, and one made mostly of
+variable tokens, which has no template, in ``min_docs`` documents.
+
 Only leaves with enough lines are looked at past their hash, equal lines are
 merged before their tokens are counted, and the whole corpus is shuffled once,
 to cut the lines.
@@ -22,6 +26,8 @@ from lanternwatch.llm.common import doc_key, materialize
 DEPTH = 4
 MIN_DOCS = 10
 MIN_TOKENS = 3
+#: A line of so many tokens that stands unchanged in two documents is a copied passage.
+LONG_TOKENS = 50
 #: A template needs this share of fixed tokens; lines that agree in less are prose that begins alike.
 MIN_FIXED = 0.5
 #: Up to so many frequent leaves (8 bytes each) are broadcast; more join by shuffle.
@@ -31,18 +37,19 @@ SPACES = r"[\x20\x09-\x0D]+"
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def line_table(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``k, doc_id, line_no`` (from 0), ``line`` (masked, single spaces), ``n_tokens, leaf`` of every line."""
+def line_table(docs: DataFrame, depth: int = DEPTH, raw: bool = False) -> DataFrame:
+    """``k, doc_id, line_no`` (from 0), ``line`` (masked, single spaces), ``n_tokens, leaf`` of every line, with ``raw`` if asked for."""
     rows = docs.select(doc_key(F.col("doc_id"), F.col("text")).alias("k"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     masked = F.regexp_replace(F.regexp_replace("raw", VARIABLE, "<*>"), SPACES, " ")
     plain = ~F.col("raw").rlike("[0-9\\x09-\\x0D]|  ")  # most prose: nothing to mask or squeeze
-    lines = rows.select("k", "doc_id", "line_no", F.trim(F.when(plain, F.col("raw")).otherwise(masked)).alias("line"))
+    kept = ["k", "doc_id", "line_no", *(["raw"] if raw else [])]
+    lines = rows.select(*kept, F.trim(F.when(plain, F.col("raw")).otherwise(masked)).alias("line"))
     n_tokens = F.when(F.col("line") == "", 0).otherwise(F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1)
     counted = lines.withColumn("n_tokens", n_tokens)
     leaf = F.xxhash64("n_tokens", F.substring_index("line", " ", depth))
     # exploding an array of one keeps filters above from computing the line once more below
-    once = counted.select("k", "doc_id", "line_no", F.explode(F.array(F.struct("line", "n_tokens", leaf.alias("leaf")))).alias("l"))
-    return once.select("k", "doc_id", "line_no", "l.*")
+    once = counted.select(*kept, F.explode(F.array(F.struct("line", "n_tokens", leaf.alias("leaf")))).alias("l"))
+    return once.select(*kept, "l.*")
 
 
 def recurring_lines(docs: DataFrame, depth=DEPTH, min_docs=MIN_DOCS, min_tokens=MIN_TOKENS, min_fixed=MIN_FIXED) -> DataFrame:
@@ -71,6 +78,26 @@ def recurring_lines(docs: DataFrame, depth=DEPTH, min_docs=MIN_DOCS, min_tokens=
     return dropped.where((F.col("k") != F.col("first.k")) | (F.col("line_no") != F.col("first.line_no"))).select("k", "line_no").distinct()
 
 
+def repeated_lines(docs: DataFrame, long_tokens=LONG_TOKENS, min_docs=MIN_DOCS, min_tokens=MIN_TOKENS, min_fixed=MIN_FIXED, only_long=False) -> DataFrame:
+    """``k, line_no`` of unchanged repeats: long lines from the second document on, short ones without a template from ``min_docs``.
+
+    Lines with enough fixed tokens are equal if they are when masked, the rest (rows of numbers) only if every token is.
+    """
+    rows = line_table(docs, raw=True)
+    n_variable = F.size(F.filter(F.split("line", " "), lambda t: t == "<*>"))
+    numbers = F.col("line").contains("<*>") & (1 - n_variable / F.col("n_tokens") < min_fixed)
+    exact = F.trim(F.regexp_replace("raw", SPACES, " "))
+    is_long = F.lit(False) if long_tokens is None else F.col("n_tokens") >= long_tokens
+    wanted = is_long if only_long else is_long | ((F.col("n_tokens") >= min_tokens) & numbers)
+    h = F.when(numbers, F.xxhash64(F.lit("exact"), exact)).otherwise(F.xxhash64("line"))
+    lines = materialize(rows.where(wanted).select("k", "doc_id", "line_no", h.alias("h"), F.when(is_long, 2).otherwise(min_docs).alias("least")), "repeats")
+    per_doc = lines.groupBy("h", "least", "k").agg(F.min(F.struct("doc_id", "k", "line_no")).alias("first"))
+    groups = per_doc.groupBy("h", "least").agg(F.count("*").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= F.col("least"))
+    groups = materialize(groups.select("h", "least", "first"), "repeated")  # a plain table, so that a join with a hot line can be split
+    dropped = lines.join(groups, ["h", "least"])
+    return dropped.where((F.col("k") != F.col("first.k")) | (F.col("line_no") != F.col("first.line_no"))).select("k", "line_no").distinct()
+
+
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """All documents and columns, recurring lines cut from ``text``; adds ``n_lines`` and ``n_dropped``.
 
@@ -80,7 +107,23 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     first ids the row's key decides. Documents without such lines are not
     changed in a byte.
     """
-    drops = recurring_lines(docs, **options).groupBy("k").agg(F.sort_array(F.collect_list("line_no")).alias("_drop")).withColumnRenamed("k", "_k")
+    shared = {n: v for n, v in options.items() if n != "depth"}
+    return cut_lines(docs, recurring_lines(docs, **options).union(repeated_lines(docs, **shared)).distinct())
+
+
+def dedup_templates(docs: DataFrame) -> DataFrame:
+    """``dedup_lines`` without the long lines that stand in a few documents: for texts whose near-copies are still in."""
+    return cut_lines(docs, recurring_lines(docs).union(repeated_lines(docs, long_tokens=None)).distinct())
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """Only long unchanged lines cut, from the second document on."""
+    return cut_lines(docs, repeated_lines(docs, only_long=True))
+
+
+def cut_lines(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the lines ``k, line_no`` of ``dropped``; adds ``n_lines`` and ``n_dropped``."""
+    drops = dropped.groupBy("k").agg(F.sort_array(F.collect_list("line_no")).alias("_drop")).withColumnRenamed("k", "_k")
     joined = docs.withColumn("_dk", doc_key(F.col("doc_id"), F.col("text"))).join(drops, F.col("_dk") == F.col("_k"), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_drop", i)), "\n")
     text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)

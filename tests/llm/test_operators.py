@@ -131,6 +131,21 @@ def test_line_templates(spark):
     assert lines.dedup_lines(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_unchanged_lines(spark):
+    own = prose(14, 17)
+    passage, short = prose(2, 18, words=55), prose(1, 19, words=20)[0]
+    prices = [" ".join(f"{i * 70 + j}.99" for j in range(55)) for i in range(2)]
+    row = "3.10 4.20 5.30 total"
+    extra = {0: [passage[0], prices[0], short], 1: [passage[0], prices[0], short], 2: [passage[1], prices[1]], 3: [passage[0]]}
+    texts = ["\n".join([own[i], *extra.get(i, []), row]) for i in range(14)]
+    out = {r["doc_id"]: r for r in lines.dedup_lines(documents(spark, texts)).collect()}
+    assert out[0]["text"] == texts[0] and out[2]["text"] == "\n".join([own[2], passage[1], prices[1]])  # other numbers are another line
+    assert out[1]["text"] == f"{own[1]}\n{short}" and out[3]["text"] == own[3]  # long from the second document on, short under the floor
+    assert all(out[i]["text"] == own[i] for i in range(4, 14))  # a row of numbers in 14 documents
+    cut = {r["doc_id"]: r["text"] for r in lines.dedup_passages(documents(spark, texts)).collect()}
+    assert cut[1] == "\n".join([own[1], short, row]) and cut[4] == texts[4]
+
+
 def test_classifiers(spark):
     texts = prose(240, 9)
     rows = [(i, t if i % 3 else " ".join(t.split()[:3]) * 9, i) for i, t in enumerate(texts)]
