@@ -13,8 +13,6 @@ from pyspark.sql import types as T
 from lanternwatch.functions.fixed_injection import BROWSER, CONFUSABLE_FROM, CONFUSABLE_TO, DEFENSIVE, EXTENDED, INVISIBLE, MULTILINGUAL, OFFENSIVE, STANDARD, STRUCTURAL
 from lanternwatch.functions.regexes import Pattern, spans
 
-#: Characters scanned by the standard patterns.
-SCAN_CHARS = 50_000
 FINDING = "array<struct<stage:string,pattern:string,risk:string>>"
 
 
@@ -25,7 +23,7 @@ def matches(text: Column, patterns: Sequence[Pattern], stage: str | None = None)
 
 
 def standard(text: Column, browser: bool = False) -> Column:
-    return matches(F.substring(text, 1, SCAN_CHARS), [*STANDARD, *BROWSER] if browser else STANDARD, "standard")
+    return matches(text, [*STANDARD, *BROWSER] if browser else STANDARD, "standard")
 
 
 def verdict(found: Column, base: float = 0.5, each: float = 0.15, high: float = 0.3) -> Column:
