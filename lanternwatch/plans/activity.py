@@ -194,7 +194,10 @@ def _outputs(spark, sf):
 
 
 def _sinks(spark, sf):
-    """Calls whose arguments quote a document: the piece at 200 of the one before by event number."""
+    """Calls whose arguments quote a document: the piece at 200 of the one before by event number.
+
+    That event is another user's, so calls and outputs share one session here, without the store of 50 outputs a session.
+    """
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("t"))
     n = docs.agg(F.count("*").alias("n"))
     rows = calls(spark, sf).withColumn("_n", n.scalar())
@@ -210,7 +213,7 @@ _PAIR = "p AS (SELECT * FROM c JOIN o ON epoch_us(c.ts) - epoch_us(ots) > 0 AND
 @query("j1_taint_verbatim", f", {_SQL_OUT}, {_SQL_IN}, {_PAIR}, n AS (SELECT request_id, source_id, args, substr(output, i + 1, 60) AS x FROM (SELECT *, unnest([0, 200, 400, 600, 800]) AS i FROM p) WHERE i < length(output)) SELECT request_id, source_id, count(*) AS n_needles FROM n WHERE length(x) >= 12 AND contains(args, x) GROUP BY 1, 2", calls_sql=True)
 def j1(spark, sf):
     outputs = _outputs(spark, sf).withColumn("session_id", F.lit("all"))
-    return flow.taint_verbatim(outputs, _sinks(spark, sf), ttl=14400).select("request_id", "source_id", F.col("n_needles").cast("long").alias("n_needles"))
+    return flow.taint_verbatim(outputs, _sinks(spark, sf), ttl=14400, keep=None).select("request_id", "source_id", F.col("n_needles").cast("long").alias("n_needles"))
 
 
 _SHINGLE = "list_distinct(list_transform(range(1, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i:i + 3], ' ')))"
@@ -226,13 +229,13 @@ def j2(spark, sf):
 @query("j3_taint_flows")
 def j3(spark, sf):
     outputs = _outputs(spark, sf).withColumn("session_id", F.lit("all"))
-    return flow.taint_flows(outputs, _sinks(spark, sf), ttl=14400)
+    return flow.taint_flows(outputs, _sinks(spark, sf), ttl=14400, keep=None)
 
 
 @query("j4_dataflow_join", f", {_SQL_OUT}, {_SQL_IN}, {_PAIR} SELECT request_id, source_id FROM p WHERE len(list_filter(range(0, 971, 30), lambda i: i + 30 <= length(output) AND contains(args, substr(output, i + 1, 30)))) > 0", calls_sql=True)
 def j4(spark, sf):
     outputs = _outputs(spark, sf).withColumn("session_id", F.lit("all"))
-    return flow.dataflow_join(outputs, _sinks(spark, sf), window=14400)
+    return flow.dataflow_join(outputs, _sinks(spark, sf), window=14400, keep=None)
 
 
 @query("j7_resolve_api_keys", ", k AS (SELECT event_id, request_id, 'lw_' || user_id AS raw FROM calls), s AS (SELECT DISTINCT sha256('lw_' || user_id) AS h, 'key_' || user_id AS key_id, user_id FROM calls WHERE user_id < 'u5') SELECT request_id, key_id, coalesce(key_id IS NOT NULL AND NOT ends_with(user_id, '3') AND (ends_with(user_id, '1') OR ends_with(user_id, '2')), FALSE) AS allowed FROM k LEFT JOIN s ON sha256(raw) = h", calls_sql=True)

@@ -71,6 +71,21 @@ def test_taint(spark):
     assert [(r["request_id"], r["source_id"], r["verbatim"]) for r in flow.taint_flows(o, c).collect()] == [("c1", "o1", True)]
 
 
+def test_taint_without_a_store(spark):
+    text = " ".join(f"word{i} of the passage" for i in range(60))
+    other = lambda i: " ".join(f"item{i} {j} is elsewhere" for j in range(60))
+    rows = [("o", 0, text)] + [(f"x{i}", 1 + i, other(i)) for i in range(70)]
+    o = spark.createDataFrame(rows, "request_id string, t int, output string").select("*", F.lit("all").alias("session_id"), F.lit("browser.fetch").alias("tool_name"), F.timestamp_seconds("t").alias("ts"))
+    sinks = [("c1", 100, text[200:500]), ("c2", 100, text.upper()), ("c3", 2000, text)]
+    c = spark.createDataFrame(sinks, "request_id string, t int, args string").select("*", F.lit("all").alias("session_id"), F.lit("webhook.send").alias("tool_name"), F.timestamp_seconds("t").alias("ts"))
+    pairs = lambda df: {(r["request_id"], r["source_id"]) for r in df.collect()}
+    assert pairs(flow.taint_verbatim(o, c, keep=None)) == {("c1", "o")} and not pairs(flow.taint_verbatim(o, c))  # 70 newer outputs fill the store
+    assert pairs(flow.taint_flows(o, c, keep=None)) == {("c1", "o"), ("c2", "o")}
+    assert pairs(flow.dataflow_join(o, c, window=1800, keep=None)) == {("c1", "o")}
+    first = lambda keep: {(r["request_id"], r["source_id"], round(r["similarity"], 9)) for r in flow.taint_similarity(o.where("t < 40"), c, keep=keep).collect()}
+    assert first(None) == first(50) != set()  # the hash join is the pairwise measure
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(str(i), f"k{i % 3}", float(i % 7), i) for i in range(60)]
     c = spark.createDataFrame(rows, "request_id string, session_id string, value double, s int").withColumn("ts", F.timestamp_seconds("s"))
