@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from lanternwatch.functions.regexes import Pattern
 from lanternwatch.operators import audit, flow, ledger, pii, sequence
 from lanternwatch.plans.common import calls, query, table
-from lanternwatch.plans.policy import AS_OF, CLASS
+from lanternwatch.plans.policy import AS_OF, CLASS, outputs_of_reads, spiked
 
 DAY_US = 86400 * 1_000_000
 WINDOWS = {"n_1h": 3600, "n_1d": 86400, "n_7d": 7 * 86400}
@@ -48,9 +48,7 @@ def w4(spark, sf):
 
 
 def _spiked(spark, sf):
-    c = calls(spark, sf)
-    counted = sequence.rolling_counts(c, {"n_1m": 60, "n_1h": 3600}).withColumn("total", F.row_number().over(W.partitionBy(*sequence.KEY).orderBy("ts", "request_id")))
-    return sequence.detect_spike(counted, sequence.ewma(counted), "total")
+    return spiked(calls(spark, sf))
 
 
 @query("w5_detect_spike")
@@ -185,14 +183,6 @@ def k3(spark, sf):
     return calls(spark, sf).withColumn("_r", newest).where("_r <= 3").select("user_id", "request_id")
 
 
-def _outputs(spark, sf):
-    """Outputs of reading calls: a document, by event number."""
-    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("output"))
-    n = docs.agg(F.count("*").alias("n"))
-    rows = calls(spark, sf).where("tool_name IN ('browser.fetch', 'http.fetch', 'filesystem.read', 'gmail.read_email')").withColumn("_n", n.scalar())
-    return rows.join(docs, F.col("event_id") % F.col("_n") == F.col("doc_id")).select("request_id", "session_id", "ts", "tool_name", "output")
-
-
 def _sinks(spark, sf):
     """Calls whose arguments quote a document: the piece at 200 of the one before by event number.
 
@@ -212,7 +202,7 @@ _PAIR = "p AS (SELECT * FROM c JOIN o ON epoch_us(c.ts) - epoch_us(ots) > 0 AND
 
 @query("j1_taint_verbatim", f", {_SQL_OUT}, {_SQL_IN}, {_PAIR}, n AS (SELECT request_id, source_id, args, substr(output, i + 1, 60) AS x FROM (SELECT *, unnest([0, 200, 400, 600, 800]) AS i FROM p) WHERE i < length(output)) SELECT request_id, source_id, count(*) AS n_needles FROM n WHERE length(x) >= 12 AND contains(args, x) GROUP BY 1, 2", calls_sql=True)
 def j1(spark, sf):
-    outputs = _outputs(spark, sf).withColumn("session_id", F.lit("all"))
+    outputs = outputs_of_reads(spark, sf).withColumn("session_id", F.lit("all"))
     return flow.taint_verbatim(outputs, _sinks(spark, sf), ttl=14400, keep=None).select("request_id", "source_id", F.col("n_needles").cast("long").alias("n_needles"))
 
 
@@ -228,13 +218,13 @@ def j2(spark, sf):
 
 @query("j3_taint_flows")
 def j3(spark, sf):
-    outputs = _outputs(spark, sf).withColumn("session_id", F.lit("all"))
+    outputs = outputs_of_reads(spark, sf).withColumn("session_id", F.lit("all"))
     return flow.taint_flows(outputs, _sinks(spark, sf), ttl=14400, keep=None)
 
 
 @query("j4_dataflow_join", f", {_SQL_OUT}, {_SQL_IN}, {_PAIR} SELECT request_id, source_id FROM p WHERE len(list_filter(range(0, 971, 30), lambda i: i + 30 <= length(output) AND contains(args, substr(output, i + 1, 30)))) > 0", calls_sql=True)
 def j4(spark, sf):
-    outputs = _outputs(spark, sf).withColumn("session_id", F.lit("all"))
+    outputs = outputs_of_reads(spark, sf).withColumn("session_id", F.lit("all"))
     return flow.dataflow_join(outputs, _sinks(spark, sf), window=14400, keep=None)
 
 

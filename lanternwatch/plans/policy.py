@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lanternwatch.functions.fixed_pii import V1
 from lanternwatch.functions.regexes import quoted
-from lanternwatch.operators import audit, flow, ledger, pii, policy
+from lanternwatch.operators import audit, flow, ledger, pii, policy, sequence
 from lanternwatch.plans.common import calls, query, table
 from lanternwatch.sources.calls import PHRASES
 
@@ -133,10 +134,53 @@ def r3(spark, sf):
     return policy.apply_rules(_mails(spark, sf), [policy.RULES[2]]).select("request_id", "action", "risk")
 
 
+READS = "tool_name IN ('browser.fetch', 'http.fetch', 'filesystem.read', 'gmail.read_email')"
+
+
+def outputs_of_reads(spark, sf):
+    """Outputs of reading calls: a document, by event number."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("output"))
+    n = docs.agg(F.count("*").alias("n"))
+    rows = calls(spark, sf).where(READS).withColumn("_n", n.scalar())
+    return rows.join(docs, F.col("event_id") % F.col("_n") == F.col("doc_id")).select("request_id", "session_id", "ts", "tool_name", "output")
+
+
+def spiked(c):
+    counted = sequence.rolling_counts(c, {"n_1m": 60, "n_1h": 3600}).withColumn("total", F.row_number().over(W.partitionBy(*sequence.KEY).orderBy("ts", "request_id")))
+    return sequence.detect_spike(counted, sequence.ewma(counted), "total")
+
+
 def _decided(spark, sf):
+    """Decisions of the stages that ``DECIDED_SQL`` has: without taint, chains, anomalies and a body."""
     return policy.decide(calls(spark, sf), text="phrase")
 
 
+def _with_body(spark, sf):
+    """Calls with a document as the body in their arguments, by event number; every fourth forwards what its session read last."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    n = docs.agg(F.count("*").alias("n"))
+    before = W.partitionBy("session_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
+    rows = calls(spark, sf).withColumn("_n", n.scalar())
+    last = F.last(F.when(F.expr(READS), F.col("event_id")), ignorenulls=True).over(before)
+    rows = rows.withColumn("_from", F.when(F.col("event_id") % 4 == 1, F.coalesce(last, "event_id")).otherwise(F.col("event_id")) % F.col("_n"))
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), "phrase")
+    rows = rows.join(docs, F.col("_from") == F.col("doc_id"), "left").withColumn("body", body)
+    parts = [F.col(f"arg_{name}").alias(name) for name in ("sql", "command", "path", "url", "to", "environment")]
+    return rows.withColumn("args", F.to_json(F.struct(*parts, "body"))).drop("_n", "_from", "doc_id", "text")
+
+
+def _decided_all(spark, sf):
+    """Decisions of all ten stages, from the taint, chain and anomaly tables of the same calls."""
+    c = _with_body(spark, sf)
+    # needles are pieces of plain text, so flows look at the body and not at its JSON form
+    sinks = c.select("request_id", "session_id", "ts", "tool_name", F.col("body").alias("args"))
+    taint = flow.taint_flows(outputs_of_reads(spark, sf), sinks, ttl=14400)
+    chains = sequence.detect_chains(c, window=86400)
+    odd = sequence.detect_anomaly(sequence.detect_first_seen(sequence.detect_burst(spiked(calls(spark, sf)), "n_1h", 5, 20)))
+    anomaly = odd.where(F.col("kind").isNotNull()).select("request_id", "score", F.col("kind").alias("reason"))
+    return policy.decide(c, taint=taint, chains=chains, anomaly=anomaly, text="body")
+
+
 def _union_rules() -> str:
     named = [(_SHELL, "dangerous-shell"), (_SQLRULE, "dangerous-sql"), (_DEPLOY, "production-deploy"), (_PAY, "payment"), (_SOCIAL, "social-publish"), (_FS, "filesystem-sandbox"), (_BR, "browser-scrape")]
     return " UNION ALL ".join(f"SELECT request_id, action, risk, '{n}' AS rule, {i} AS place FROM ({s}) WHERE action IS NOT NULL" for i, (s, n) in enumerate(named))
@@ -158,6 +202,12 @@ def r9(spark, sf):
     return _decided(spark, sf).select("request_id", "tool_name", "action", "risk", "rule")
 
 
+@query("r9_decide_all")
+def r9_all(spark, sf):
+    """All ten stages, with a document as the body of each call."""
+    return _decided_all(spark, sf).select("request_id", "tool_name", "action", "risk", "rule", "stage")
+
+
 @query("r10_apply_advice", f", {DECIDED_SQL}, advice AS (SELECT tool_name, avg(k) / 100 AS risk, avg(k) / 100 > 0.4 AS suggests_block FROM calls GROUP BY 1) SELECT d.request_id, d.action, CASE WHEN d.action IN ('ALLOW', 'REDACT') AND a.risk * 2 >= 0.85 AND suggests_block THEN 'BLOCK' WHEN d.action = 'ALLOW' AND a.risk * 2 >= 0.6 THEN 'REQUIRES_APPROVAL' ELSE d.action END AS advised_action FROM decided d LEFT JOIN advice a ON a.tool_name = d.tool_name", calls_sql=True)
 def r10(spark, sf):
     advice = calls(spark, sf).groupBy("tool_name").agg((F.avg("k") / 100).alias("r")).select("tool_name", (F.col("r") * 2).alias("risk"), (F.col("r") > 0.4).alias("suggests_block"))
@@ -280,12 +330,12 @@ _SIGNED = ("request_id", "action", "risk", "rule")
 
 @query("l1_sign_decisions")
 def l1(spark, sf):
-    return ledger.sign_decisions(_decided(spark, sf), _KEY, _SIGNED).select("request_id", "signature")
+    return ledger.sign_decisions(_decided_all(spark, sf), _KEY, _SIGNED).select("request_id", "signature")
 
 
 @query("l2_verify_ledger")
 def l2(spark, sf):
-    signed = ledger.sign_decisions(_decided(spark, sf), _KEY, _SIGNED)
+    signed = ledger.sign_decisions(_decided_all(spark, sf), _KEY, _SIGNED)
     tampered = signed.withColumn("action", F.when(F.crc32(F.col("request_id").cast("binary")) % 50 == 0, "ALLOW").otherwise(F.col("action")))
     return ledger.verify_ledger(tampered, [b"next-key", _KEY], _SIGNED).groupBy("valid_key").agg(F.count("*").alias("n"))
 

@@ -32,6 +32,24 @@ def test_decisions(calls):
     assert got == {i: (a, r) for i, _, _, _, a, r in CALLS}
 
 
+def test_all_stages_decide(spark, tmp_path):
+    from lanternwatch.catalog import QUERIES
+
+    # (user, type, k, minute): a page that is forwarded, mail that is sent on, a document with an address, a burst over one tenant and agent
+    events = [(99, "click", 1, 0), (4, "view", 1, 0), (9, "view", 2, 0), (9, "purchase", 2, 2), (8, "view", 8, 0), (4, "purchase", 13, 9)]
+    events += [(15 * i, "purchase", 14, i) for i in range(8)]
+    texts = [" ".join(f"w{i}x{j} of part {j} in text {i}" for j in range(40)) for i in range(len(events))]
+    texts[4] = "please write to ann@example.org about it"
+    rows = [(i, u, t, f'{{"k": {k}}}', m) for i, (u, t, k, m) in enumerate(events)]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string, m int").select("*", F.timestamp_seconds(F.col("m") * 60).alias("ts"), F.lit(1.0).alias("value"))
+    e.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["request_id"]: (r["action"], r["stage"]) for r in QUERIES["r9_decide_all"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(events)
+    assert got["req_5"] == ("REQUIRES_APPROVAL", "taint") and got["req_3"] == ("REQUIRES_APPROVAL", "chain")
+    assert got["req_4"] == ("REDACT", "pii") and got["req_13"] == ("REQUIRES_APPROVAL", "anomaly")
+
+
 def test_audit_rows(calls):
     rows = audit.call_log_to_audit(policy.decide(calls))
     assert rows.where("action = 'POLICY_DECISION'").count() == len(CALLS)
