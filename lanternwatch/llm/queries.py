@@ -102,6 +102,25 @@ SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::
 FROM documents LEFT JOIN kept USING (doc_id)
 """
 
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  ('0x' || substr(md5(doc_id::VARCHAR || ':' || md5(coalesce(text, '')) || ':17'), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY 1),
+w AS (SELECT *, [3.0, 1.0, 2.0][r % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
+-- the level of the fill: what the budget leaves after the full sources, by the weights of the rest
+levels AS (SELECT ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE - coalesce((SELECT sum(y.cap) FROM w y WHERE (y.cap / y.weight, y.r) < (x.cap / x.weight, x.r)), 0))
+                  / (SELECT sum(y.weight) FROM w y WHERE (y.cap / y.weight, y.r) >= (x.cap / x.weight, x.r)) AS level, x.* FROM w x),
+open AS (SELECT arg_min(level, (cap / weight, r)) AS level FROM levels WHERE level * weight <= cap),
+t AS (SELECT source, source_size, coalesce(least(cap, open.level * weight), cap) AS target FROM w, open),
+c AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY h % (SELECT floor(sqrt(count(*)))::BIGINT FROM documents), h, doc_id) AS cum
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+copies AS (SELECT doc_id, size, h, e, (cum + e * source_size)::BIGINT / target AS finish FROM c, (SELECT unnest([0, 1]) AS e) WHERE size > 0 AND target > 0),
+run AS (SELECT *, sum(size) OVER (ORDER BY finish, h, doc_id, e ROWS UNBOUNDED PRECEDING) - size / 2 AS middle FROM copies),
+cut AS (SELECT min((finish, h, doc_id, e)) AS cut FROM run WHERE middle > (SELECT sum(target) FROM t)),
+n AS (SELECT doc_id, count(*) AS n FROM run, cut WHERE cut IS NULL OR (finish, h, doc_id, e) < cut GROUP BY 1)
+SELECT doc_id, size, source_size, target, (size * coalesce(n, 0))::BIGINT AS taken, source, coalesce(n, 0)::BIGINT AS n_taken FROM c LEFT JOIN n USING (doc_id)
+"""
+
 OP10_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
@@ -127,4 +146,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op2_minhash": OP2_SQL, "op5_line_dedup": OP5_SQL, "op10_embedding_dedup": OP10_SQL}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op2_minhash": OP2_SQL, "op5_line_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op10_embedding_dedup": OP10_SQL}
