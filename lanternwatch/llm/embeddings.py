@@ -1,18 +1,21 @@
 """Exact near-duplicates of embeddings by dual traversal of a cover tree.
 
 Vectors are unit length for the tree, so a cosine of at least ``THRESHOLD`` is
-a distance of at most ``reach``. Each label is the root of a tree: a cell with
-more than ``LEAF`` vectors takes centres from a bounded sample of itself, picked
-farthest first until they cover the sample within half the cell's radius, and
-its vectors move to the nearest one. Cells that no longer shrink are halved by
-hash. The levels are tables, and so is the traversal: from (root, root) the
-pairs of cells descend level by level, a pair whose centres are farther apart
-than both covering radii and the reach goes, and only pairs of leaves that stay
-are compared, block against block, on the full vectors. A pair of leaves that
-lies within the reach altogether is linked without comparing.
-
-Equal vectors are one node with a multiplicity, and links inside a pair of
-leaves leave the task as counts and a spanning forest, never as all pairs.
+a distance of at most ``reach``. Each label has a simplified cover tree: the
+centre of a node is a point and is again a centre among its children (nesting),
+children cover their node within half its radius (halving), and siblings lie
+farther apart than that (separation).
+
+The levels above cells of ``CELL`` vectors are tables: a larger cell takes a
+net from a bounded sample of itself, of ``MAX_CENTRES`` points at most, and its
+vectors go to the nearest centre, so here covering radii are those measured and
+may exceed a half. Below, a task builds the tree of its cell to single points.
+
+The traversal descends from (root, root) pair by pair: a pair whose centres are
+farther apart than both covering radii and the reach goes, one that lies within
+the reach altogether is linked without comparing, points that meet are compared
+on the full vectors. Equal vectors are one node with a multiplicity, and links
+leave a task as counts and a spanning forest, never as all pairs.
 """
 
 from __future__ import annotations
@@ -27,11 +30,14 @@ from lanternwatch.llm.common import materialize
 from lanternwatch.llm.components import contract
 
 THRESHOLD = 0.98
-LEAF = 1024
-#: Members of a cell drawn to pick its centres from, about; and the most centres.
-SAMPLE, MAX_CENTRES = 512, 64
-MAX_DEPTH = 12
-SLACK = 1e-9
+#: Vectors of a label whose tree is built in one task; a task holds two such cells at most.
+CELL = 4096
+#: Nodes of the tree with so many points or fewer are compared without descending further.
+BASE = 16
+#: Members of a cell drawn to pick its net from, about; and the most centres of a net.
+SAMPLE, MAX_CENTRES = 1024, 128
+#: For rounding: distances come from products of unit vectors. Only ever keeps pairs that could have been left out.
+SLACK = 1e-6
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -42,6 +48,84 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors, all against all."""
+    return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ y.T)))
+
+
+class Tree:
+    """Cover tree of the rows of ``x`` (unit vectors): ``centre, radius, kids, points`` by node; node 0 is the root."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.centre, self.radius, self.kids, self.points = x, [], [], [], []
+        todo = [self._node(np.arange(len(x)), 0)]
+        while todo:
+            node = todo.pop()
+            points, half = self.points[node], self.radius[node] / 2
+            if len(points) <= BASE or half < SLACK:
+                continue
+            groups, rest, at = [], points, self.centre[node]  # the node's own centre comes first
+            while len(rest):
+                near = _apart(x[rest], x[at : at + 1])[:, 0] <= half
+                near |= rest == at
+                groups.append((rest[near], at))
+                rest = rest[~near]
+                at = int(rest[0]) if len(rest) else at
+            self.kids[node] = np.array([self._node(*g) for g in groups])
+            todo += self.kids[node].tolist()
+        self.centre, self.radius = np.array(self.centre), np.array(self.radius)
+        self.size = np.array([len(p) for p in self.points])
+
+    def _node(self, points: np.ndarray, centre: int) -> int:
+        self.points.append(points)
+        self.centre.append(centre)
+        self.radius.append(float(_apart(self.x[points], self.x[centre : centre + 1]).max()) if len(points) > 1 else 0.0)
+        self.kids.append(np.empty(0, np.int64))
+        return len(self.points) - 1
+
+
+def linked_blocks(a: Tree, b: Tree, reach: float):
+    """Dual traversal: yields ``(points of a, points of b, whether all are linked)``; what it leaves out is not linked.
+
+    With ``a is b`` every pair of different nodes comes once, and a node with itself.
+    """
+    same = a is b
+    ax, bx = a.x[a.centre], b.x[b.centre]
+
+    def kept(p: np.ndarray, q: np.ndarray):
+        """Pairs of nodes, one of each list, that may hold links, and whether they hold nothing else."""
+        for i in range(0, len(p), 512):
+            d = _apart(ax[p[i : i + 512]], bx[q])
+            r = a.radius[p[i : i + 512], None] + b.radius[q]
+            x, y = np.nonzero(d <= r + reach + SLACK)
+            yield p[i + x], q[y], (d + r)[x, y] < reach - SLACK
+
+    root = np.array([0])
+    stack = [(root, root)]  # one list twice: each pair of its nodes once
+    while stack:
+        p0, q0 = stack.pop()
+        for p, q, solid in kept(p0, q0):
+            single_p, single_q = [], []
+            for i, j, all_linked in zip(p.tolist(), q.tolist(), solid.tolist(), strict=True):
+                if p0 is q0 and same and i > j:
+                    continue
+                m, n, ki, kj = a.size[i], b.size[j], a.kids[i], b.kids[j]
+                if m == 1 and n == 1:
+                    if not (same and i == j):
+                        single_p.append(a.centre[i])
+                        single_q.append(b.centre[j])
+                elif all_linked or not (len(ki) or len(kj)):
+                    yield a.points[i], b.points[j], all_linked
+                elif same and i == j:
+                    stack.append((ki, ki))
+                elif len(ki) and (not len(kj) or a.radius[i] >= b.radius[j]):
+                    stack.append((ki, np.array([j])))
+                else:
+                    stack.append((np.array([i]), kj))
+            if single_p:
+                yield np.array(single_p), np.array(single_q), None
+
+
 def valid(vector: Column, label: Column) -> Column:
     """Vectors that can be compared: a label, components that are all finite numbers, not all zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -52,85 +136,89 @@ def node_key(vector: Column, label: Column) -> Column:
     return F.concat_ws(":", label.cast("string"), F.hex(F.xxhash64(vector)), F.hex(F.xxhash64(F.reverse(vector), label)))
 
 
-def _centres(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Farthest-first centres of one cell's sample."""
+def _net(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The cell's centre and points of its sample that lie farther apart than half the cell's radius, in order of their hashes."""
     pdf = pdf.sort_values("node")
-    x, most = _unit(_matrix(pdf["vector"])), int(min(MAX_CENTRES, max(2, -(-2 * pdf["n"].iloc[0] // LEAF))))
-    chosen, far = [0], np.linalg.norm(x - x[0], axis=1)
-    half = far.max() / 2
-    while len(chosen) < min(most, len(x)) and (far.max() > half or len(chosen) < most) and far.max() > SLACK:
-        chosen.append(int(far.argmax()))
-        far = np.minimum(far, np.linalg.norm(x - x[chosen[-1]], axis=1))
-    return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "centres": [x[chosen].tobytes()], "m": [len(chosen)]})
-
-
-@F.pandas_udf(T.IntegerType())
-def _nearest(vector: pd.Series, centres: pd.Series, m: pd.Series) -> pd.Series:
-    out = np.empty(len(vector), np.int32)
-    for key, at in centres.groupby(centres).indices.items():
-        c = np.frombuffer(key, np.float64).reshape(int(m.iloc[at[0]]), -1)
-        x = _unit(_matrix(vector.iloc[at]))
-        out[at] = (x @ c.T - (c * c).sum(1) / 2).argmax(axis=1)
-    return pd.Series(out)
-
-
-def _split(members: DataFrame, depth: int) -> DataFrame | None:
-    """``cell`` moves to a child in every cell of more than LEAF vectors; None if there is no such cell."""
-    large = materialize(members.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > LEAF), "cells")
+    x = np.vstack([np.array(pdf["centre"].iloc[0])[None], _unit(_matrix(pdf["vector"]))])
+    half, chosen, rest = pdf["radius"].iloc[0] / 2, [0], np.arange(len(x))
+    while True:
+        rest = rest[_apart(x[rest], x[chosen[-1:]])[:, 0] > half]
+        if not len(rest) or len(chosen) == MAX_CENTRES:
+            break
+        chosen.append(int(rest[0]))
+    return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "centres": [x[chosen].tolist()]})
+
+
+@F.pandas_udf(T.StructType([T.StructField("c", T.IntegerType()), T.StructField("d", T.DoubleType())]))
+def _nearest(vector: pd.Series, centres: pd.Series) -> pd.DataFrame:
+    """The nearest of each row's centres, and its distance. Rows of a cell share one list of centres."""
+    c, d = np.zeros(len(vector), np.int32), np.zeros(len(vector))
+    nets = [np.array([np.asarray(v, np.float64) for v in x]) for x in centres]
+    key = pd.Series([x.tobytes() for x in nets])
+    for at in key.groupby(key).indices.values():
+        far = _apart(_unit(_matrix(vector.iloc[at])), nets[at[0]])
+        c[at], d[at] = far.argmin(axis=1), far.min(axis=1)
+    return pd.DataFrame({"c": c, "d": d})
+
+
+def _split(members: DataFrame, centres: DataFrame, depth: int, reach: float) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """``members`` and ``centres`` after every cell of more than CELL vectors went to its children; None if there is none.
+
+    A ball so small that all its vectors are linked needs no finer centres: it is dealt by hash, to bound what a task holds.
+    """
+    large = members.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("radius")).where(F.col("n") > CELL)
+    large = materialize(large.join(centres, "cell"), "cells")
     if large.isEmpty():
         return None
     chance = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(1 << 30)) < F.lit(float(SAMPLE << 30)) / F.col("n")
-    drawn = members.join(large, "cell").where(chance).select("cell", "node", "vector", "n")
-    centres = drawn.groupBy("cell").applyInPandas(_centres, "cell string, centres binary, m int")
-    centres = materialize(large.join(centres, "cell", "left"), "centres")
-    joined = members.join(centres, "cell", "left")
-    by_hash = F.pmod(F.xxhash64("node", F.lit(-depth)), F.ceil(F.col("n") / LEAF)).cast("int")
-    child = F.when(F.coalesce("m", F.lit(0)) < 2, by_hash) if depth < MAX_DEPTH else F.when(F.lit(True), by_hash)
-    splits = joined.where("n is not null").select("node", "vector", "mult", "cell", child.otherwise(_nearest("vector", "centres", "m")).alias("c"))
-    moved = splits.select("node", "vector", "mult", F.concat_ws("/", "cell", "c").alias("cell"))
-    return materialize(moved.unionByName(joined.where("n is null").select("node", "vector", "mult", "cell")), "members")
-
-
-def _ball(pdf: pd.DataFrame) -> pd.DataFrame:
-    x = _unit(_matrix(pdf["vector"]))
-    c = x.mean(axis=0)
-    return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "centre": [c.tolist()], "radius": [float(np.linalg.norm(x - c, axis=1).max())]})
-
-
-def _apart(reach: float):
+    solid = F.col("radius") < reach / 4
+    drawn = members.join(large.where(~solid), "cell").where(chance).select("cell", "node", "vector", "centre", "radius")
+    nets = drawn.groupBy("cell").applyInPandas(_net, "cell string, centres array<array<double>>")
+    large = materialize(large.join(nets, "cell", "left").withColumn("centres", F.coalesce("centres", F.array("centre"))), "nets")
+    joined = members.join(large.select("cell", "n", "centres", solid.alias("solid")), "cell", "left")
+    found = joined.where("n is not null and not solid").withColumn("near", _nearest("vector", "centres"))
+    by_hash = F.pmod(F.xxhash64("node", F.lit(-depth)), F.ceil(F.col("n") / CELL)).cast("int")
+    child = lambda c: F.concat_ws("/", "cell", c).alias("cell")
+    keep = ["node", "vector", "mult"]
+    moved = found.select(*keep, child("near.c"), F.col("near.d").alias("d"))
+    moved = moved.unionByName(joined.where("solid").select(*keep, child(by_hash), "d")).unionByName(joined.where("n is null").select(*keep, "cell", "d"))
+    parts = F.when(solid, F.array_repeat("centre", F.ceil(F.col("n") / CELL).cast("int"))).otherwise(F.col("centres"))
+    fresh = large.select("cell", F.posexplode(parts).alias("c", "centre")).select(child("c"), "centre")
+    return materialize(moved, "members"), materialize(centres.unionByName(fresh), "centres"), large
+
+
+def _verdicts(reach: float):
     @F.pandas_udf(T.StringType())
     def verdict(x: pd.Series, r: pd.Series, y: pd.Series, s: pd.Series) -> pd.Series:
         d = np.linalg.norm(_matrix(x) - _matrix(y), axis=1) if len(x) else np.zeros(0)
-        out = np.where(d > r + s + reach + SLACK, "apart", np.where(d + r + s < reach - SLACK, "within", "compare"))
-        return pd.Series(out)
+        return pd.Series(np.where(d > r + s + reach + SLACK, "apart", np.where(d + r + s < reach - SLACK, "within", "compare")))
 
     return verdict
 
 
-def _levels(leaves: DataFrame) -> list[DataFrame]:
-    """``cell, parent, centre, radius`` from the roots down. A leaf stands in for itself on the levels below it.
+@F.pandas_udf(T.DoubleType())
+def _distance(x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series(np.linalg.norm(_matrix(x) - _matrix(y), axis=1) if len(x) else np.zeros(0))
+
+
+def _levels(leaves: DataFrame, centres: DataFrame) -> list[DataFrame]:
+    """``cell, centre, radius`` from the roots down. A leaf stands in for itself on the levels below it.
 
     An inner cell's ball covers the balls of its children, which costs no look at the vectors.
     """
     depth = leaves.select(F.max(F.size(F.split("cell", "/")))).first()[0] or 1
     found, level = [leaves], leaves
     for d in range(depth - 1, 0, -1):
-        up = level.withColumn("up", F.substring_index("cell", "/", d))
-        centre = up.groupBy("up").applyInPandas(_cover, "cell string, centre array<double>, radius double")
-        level = materialize(centre, "cells")
+        up = level.withColumnsRenamed({"cell": "low", "centre": "low_centre"}).withColumn("cell", F.substring_index("low", "/", d)).join(centres, "cell")
+        reached = F.when(F.col("low") == F.col("cell"), F.col("radius")).otherwise(_distance("centre", "low_centre") + F.col("radius"))
+        level = materialize(up.select("cell", "centre", reached.alias("radius")).groupBy("cell").agg(F.first("centre").alias("centre"), F.max("radius").alias("radius")), "cells")
         found.append(level)
     return found[::-1]
 
 
-def _cover(pdf: pd.DataFrame) -> pd.DataFrame:
-    x = _matrix(pdf["centre"])
-    c = x.mean(axis=0)
-    return pd.DataFrame({"cell": [pdf["up"].iloc[0]], "centre": [c.tolist()], "radius": [float((np.linalg.norm(x - c, axis=1) + pdf["radius"].to_numpy()).max())]})
-
-
-def leaf_pairs(leaves: DataFrame, threshold: float) -> DataFrame:
+def leaf_pairs(leaves: DataFrame, centres: DataFrame, reach: float) -> DataFrame:
     """``a, b, verdict`` (a <= b) for the pairs of leaves that may hold links."""
-    verdict, levels = _apart(float(np.sqrt(2 - 2 * threshold))), _levels(leaves)
+    verdict, levels = _verdicts(reach), _levels(leaves, centres)
     pairs = levels[0].select(F.col("cell").alias("a"), F.col("cell").alias("b"))
     for d, level in enumerate(levels):
         up = F.substring_index("cell", "/", d) if d else F.col("cell")
@@ -141,33 +229,62 @@ def leaf_pairs(leaves: DataFrame, threshold: float) -> DataFrame:
     return pairs
 
 
+def _merge(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Least reachable places once the links (i, j) are added."""
+    while True:
+        x, y = low[i], low[j]
+        if (x == y).all():
+            return low
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low[low] != low).any():
+            low = low[low]
+
+
 def _links(threshold: float):
+    reach = float(np.sqrt(2 - 2 * threshold))
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         same = not len(right)
         other = left if same else right
         if not len(left) or not len(other):
             return pd.DataFrame({"node": [], "links": [], "root": []})
+        shift = 0 if same else len(left)
+        name, low = np.concatenate([left["node"], [] if same else right["node"]]), np.arange(len(left) + (0 if same else len(right)))
+        mult = np.concatenate([left["mult"].to_numpy(np.int64), [] if same else other["mult"].to_numpy(np.int64)]).astype(np.int64)
+        count = np.zeros(len(low), np.int64)
         if left["verdict"].iloc[0] == "within":
-            linked = np.ones((len(left), len(other)), bool)
+            rows = np.arange(len(left))
+            blocks = [(rows, rows if same else np.arange(len(other)), True)]
         else:
             x, y = _matrix(left["vector"]), _matrix(other["vector"])
-            linked = (x @ y.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)) >= threshold
-        if same:
-            np.fill_diagonal(linked, False)
-        i, j = np.nonzero(linked)
-        j_at = j if same else j + len(left)
-        name, low = np.concatenate([left["node"], [] if same else right["node"]]), np.arange(len(left) + (0 if same else len(right)))
-        while len(i):  # least place that is reachable inside this pair of leaves
-            before = low.copy()
-            np.minimum.at(low, i, before[j_at])
-            np.minimum.at(low, j_at, low[i])
-            low = low[low]
-            if (low == before).all():
-                break
-        weight_l, weight_o = left["mult"].to_numpy(np.int64), other["mult"].to_numpy(np.int64)
-        count = linked @ weight_o
-        if not same:
-            count = np.concatenate([count, linked.T @ weight_l])
+            nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+            tree = Tree(x / nx[:, None])
+            blocks = linked_blocks(tree, tree if same else Tree(y / ny[:, None]), reach)
+        for p, q, solid in blocks:
+            if solid is None:  # single points, pair by pair
+                linked = (x[p] * y[q]).sum(axis=1) / (nx[p] * ny[q]) >= threshold
+                i, j = p[linked], q[linked] + shift
+                np.add.at(count, i, mult[j])
+                np.add.at(count, j, mult[i])
+                low = _merge(low, i, j)
+                continue
+            itself = same and p is q
+            if solid:
+                total_p, total_q = mult[p].sum(), mult[q + shift].sum()
+                count[p] += total_q - (mult[p] if itself else 0)
+                count[q + shift] += 0 if itself else total_p
+                low = _merge(low, np.append(p, q + shift), np.full(len(p) + len(q), p[0]))
+                continue
+            for k in range(0, len(p), 1024):
+                rows = p[k : k + 1024]
+                linked = (x[rows] @ y[q].T) / np.outer(nx[rows], ny[q]) >= threshold
+                if itself:
+                    linked &= rows[:, None] != q
+                count[rows] += linked @ mult[q + shift]
+                if not itself:
+                    count[q + shift] += linked.T @ mult[rows]
+                i, j = np.nonzero(linked)
+                low = _merge(low, rows[i], q[j] + shift)
         seen = np.flatnonzero(count)
         return pd.DataFrame({"node": name[seen], "links": count[seen], "root": name[low[seen]]})
 
@@ -179,19 +296,30 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     Null labels, null, empty or zero vectors and vectors with a null or
     non-finite component link with nothing. Vectors of different lengths are
-    not compared. Rows that repeat an id are separate vectors with that id.
+    not compared. Rows that repeat an id are separate vectors with that id; a
+    null id is a vector of its own. An empty table gives an empty result, and
+    other columns are not looked at.
     """
+    reach = float(np.sqrt(2 - 2 * threshold))
     rows = vectors.select("vec_id", F.col("embedding").alias("vector"), "label")
     rows = rows.withColumn("node", F.when(valid(F.col("vector"), F.col("label")), node_key(F.col("vector"), F.col("label"))))
     nodes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("mult"), F.min("vec_id").alias("least"), F.first("vector").alias("vector"), F.first("label").alias("label"))
     nodes = materialize(nodes, "nodes")
-    members, depth = nodes.select("node", "vector", "mult", F.concat_ws(":", F.col("label").cast("string"), F.size("vector").cast("string")).alias("cell")), 1
-    while (split := _split(members, depth)) is not None:
-        members, depth = split, depth + 1
-    leaves = materialize(members.groupBy("cell").applyInPandas(_ball, "cell string, centre array<double>, radius double"), "leaves")
-    pairs = leaf_pairs(leaves, threshold).withColumn("pair", F.concat_ws("|", "a", "b"))
-    left = pairs.select("pair", "verdict", F.col("a").alias("cell")).join(members, "cell").select("pair", "verdict", "node", "vector", "mult")
-    right = pairs.where("a <> b").select("pair", F.col("b").alias("cell")).join(members, "cell").select(*[F.col(c).alias(c if c != "pair" else "other") for c in ("pair", "node", "vector", "mult")])
+    members = nodes.select("node", "vector", "mult", F.md5(F.concat_ws(":", F.size("vector").cast("string"), F.col("label").cast("string"))).alias("cell"))
+    norm = F.sqrt(F.aggregate("centre", F.lit(0.0), lambda acc, v: acc + v * v))
+    centres = members.groupBy("cell").agg(F.min_by(F.col("vector").cast("array<double>"), "node").alias("centre"))
+    centres = materialize(centres.withColumn("_norm", norm).select("cell", F.transform("centre", lambda v: v / F.col("_norm")).alias("centre")), "centres")
+    near = _nearest("vector", F.array("centre"))
+    members, depth = members.join(centres, "cell").select("node", "vector", "mult", "cell", near.alias("near")).select("node", "vector", "mult", "cell", F.col("near.d").alias("d")), 1
+    members = materialize(members, "members")
+    while (split := _split(members, centres, depth, reach)) is not None:
+        members, centres, _ = split
+        depth += 1
+    leaves = materialize(members.groupBy("cell").agg(F.max("d").alias("radius")).join(centres, "cell").select("cell", "centre", "radius"), "leaves")
+    pairs = leaf_pairs(leaves, centres, reach).withColumn("pair", F.concat_ws("|", "a", "b"))
+    vector = F.when(F.col("verdict") == "compare", F.col("vector")).alias("vector")
+    left = pairs.select("pair", "verdict", F.col("a").alias("cell")).join(members, "cell").select("pair", "verdict", "node", vector, "mult")
+    right = pairs.where("a <> b").select(F.col("pair").alias("other"), "verdict", F.col("b").alias("cell")).join(members, "cell").select("other", F.col("node").alias("node"), vector, F.col("mult").alias("mult"))  # aliases tell the sides apart
     found = left.groupBy("pair").cogroup(right.groupBy("other")).applyInPandas(_links(threshold), "node string, links long, root string")
     found = materialize(found, "found")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))

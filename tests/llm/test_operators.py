@@ -210,15 +210,18 @@ def test_mixing(spark):
     assert mixing.mix_report(docs.limit(0)).count() == 0
 
 
-def test_embeddings_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize(("cell", "sample"), [(4096, 1024), (16, 32)])
+def test_embeddings_against_brute_force(spark, monkeypatch, cell, sample):
     import numpy as np
 
-    monkeypatch.setattr(embeddings, "LEAF", 16)
+    monkeypatch.setattr(embeddings, "CELL", cell)
+    monkeypatch.setattr(embeddings, "SAMPLE", sample)
     rng = np.random.default_rng(2)
+    n = 150
     centres = rng.normal(size=(12, 8))
-    x = [(centres[i % 12] + rng.normal(size=8) * 0.12).astype(np.float32).tolist() for i in range(150)]
-    x += [x[0], x[0], [0.0] * 8, None, [float("nan")] * 8, [1.0, 2.0]]
-    labels = [i % 2 for i in range(150)] + [0, 0, 0, 0, 0, None]
+    x = [(centres[i % 12] + rng.normal(size=8) * 0.12).astype(np.float32).tolist() for i in range(n)]
+    x += [x[0], x[0], [2 * v for v in x[3]], [4 * v for v in x[3]], [0.0] * 8, None, [float("nan")] * 8, [1.0, 2.0]]
+    labels = [i % 2 for i in range(n)] + [0, 0, 1, 1, 0, 0, 0, None]
     rows = spark.createDataFrame([(i, v, y) for i, (v, y) in enumerate(zip(x, labels, strict=True))], "vec_id long, embedding array<float>, label int")
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(rows).collect()}
     ok = [i for i, (v, y) in enumerate(zip(x, labels, strict=True)) if y is not None and v and not np.isnan(v).any() and any(v)]
@@ -239,3 +242,32 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
                     a, b = sorted((find(i), find(j)))
                     at[b] = a
     assert got == {i: (n[i], find(i)) for i in range(len(x))}
+    assert embeddings.near_duplicates(rows.limit(0)).count() == 0
+
+
+def test_cover_tree_invariants_and_traversal(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(embeddings, "BASE", 1)
+    rng = np.random.default_rng(5)
+    x = embeddings._unit(np.vstack([rng.normal(size=(60, 6)), rng.normal(size=(3, 6)).repeat(40, axis=0) + rng.normal(size=(120, 6)) * 0.03]))
+    tree = embeddings.Tree(x)
+    for node, kids in enumerate(tree.kids):
+        if len(kids):
+            c = tree.centre[kids]
+            assert tree.centre[node] in c and sorted(np.concatenate([tree.points[k] for k in kids])) == sorted(tree.points[node])
+            assert (tree.radius[kids] <= tree.radius[node] / 2 + 1e-6).all()
+            d = embeddings._apart(x[c], x[c]) + 9 * np.eye(len(c))
+            assert (d > tree.radius[node] / 2).all()
+    for other in (tree, embeddings.Tree(x[::-1].copy())):
+        seen = np.zeros((len(x), len(x)), int)
+        for p, q, solid in embeddings.linked_blocks(tree, other, 0.2):
+            if solid is None:
+                seen[p, q] += 1
+            else:
+                seen[np.ix_(p, q)] += 1
+                assert not solid or (embeddings._apart(x[p], other.x[q]) < 0.2).all()
+        assert (seen if other is not tree else np.triu(seen + seen.T, 1)).max() <= 1  # no pair twice
+        close = embeddings._apart(x, other.x) <= 0.2
+        both = seen if other is not tree else seen + seen.T + np.eye(len(x), dtype=int)
+        assert (both[close] > 0).all()
