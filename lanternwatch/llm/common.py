@@ -16,10 +16,13 @@ ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``. A temporary one only where all runs on this machine, as in tests."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lanternwatch-"))
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lanternwatch-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

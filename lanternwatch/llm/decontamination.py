@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternwatch.llm.common import ITEM_WORD, ascii_lower, doc_key
+from lanternwatch.llm.common import ITEM_WORD, ascii_lower, doc_key, materialize
 
 WINDOW = 10
 #: Beyond this many windows nothing is broadcast: hashes are exploded and join by shuffle.
@@ -76,6 +76,7 @@ def find_hits(docs: DataFrame, bench: DataFrame, n: int = WINDOW, max_broadcast:
     words of the corpus meet the anchors in a shuffled join instead.
     """
     windows = benchmark_windows(bench, n)
+    windows = materialize(windows, "windows")
     count = windows.count()
     small = count <= max_broadcast
     rows = docs.select(doc_key(F.col("doc_id"), F.col("text")).alias("_k"), F.monotonically_increasing_id().alias("_rid"), "doc_id", raw_words(F.col("text")).alias("_w"))
@@ -90,6 +91,7 @@ def find_hits(docs: DataFrame, bench: DataFrame, n: int = WINDOW, max_broadcast:
         marked = rows.withColumn("_bits", _bit_set(windows, slots).scalar()).select("_k", "_rid", "doc_id", "_w", places.alias("_at"))
         spots = marked.select("_k", "_rid", "doc_id", F.size("_w").alias("n_words"), F.explode_outer(F.transform("_at", lambda i: _context("_w", i, n))).alias("s"))
     else:
+        rows = materialize(rows, "words")  # the row ids are drawn once
         at = rows.select("_k", F.posexplode("_w").alias("pos", "word")).withColumn("anchor", F.lower("word"))
         at = at.join(windows.select(F.lower("anchor").alias("anchor")).distinct().hint("shuffle_merge"), "anchor", "left_semi").select("_k", "pos").distinct()
         found = rows.join(at.hint("shuffle_merge"), "_k").select("_k", "_rid", _context("_w", F.col("pos"), n).alias("s"))
@@ -125,19 +127,24 @@ def contamination_report(docs: DataFrame, bench: DataFrame, n: int = WINDOW) ->
     )
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows as one column beside their key, so that no name clashes."""
+    return docs.select(F.struct("*").alias("row"), doc_key(F.col("doc_id"), F.col("text")).alias("k"))
+
+
 def drop_contaminated(docs: DataFrame, bench: DataFrame, n: int = WINDOW) -> DataFrame:
     """Documents without any hit; all columns stay as they are."""
-    bad = find_hits(docs, bench, n).where(F.size("hits") > 0).select("_k").distinct()
-    return docs.join(bad, doc_key(docs["doc_id"], docs["text"]) == bad["_k"], "left_anti")
+    bad = find_hits(docs, bench, n).where(F.size("hits") > 0).select(F.col("_k").alias("k")).distinct()
+    return _keyed(docs).join(bad, "k", "left_anti").select("row.*")
 
 
 def strip_contaminated(docs: DataFrame, bench: DataFrame, n: int = WINDOW) -> DataFrame:
     """All documents, hit words (with what follows each up to the next word) cut from ``text``."""
-    bad = find_hits(docs, bench, n).where(F.size("hits") > 0).groupBy("_k").agg(F.first("hits").alias("_hits"))
-    word = ITEM_WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
-    joined = docs.withColumn("_dk", doc_key(F.col("doc_id"), F.col("text"))).join(bad, F.col("_dk") == F.col("_k"), "left")
-    gaps, words = F.split("text", word), F.regexp_extract_all("text", F.lit(word), F.lit(0))
-    hit = lambda i: F.exists("_hits", lambda h: (h["pos"] <= i) & (i < h["pos"] + h["len"]))
+    bad = find_hits(docs, bench, n).where(F.size("hits") > 0).groupBy(F.col("_k").alias("k")).agg(F.first("hits").alias("hits"))
+    word, text = ITEM_WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"), F.col("row.text")
+    joined = _keyed(docs).join(bad, "k", "left")
+    gaps, words = F.split(text, word), F.regexp_extract_all(text, F.lit(word), F.lit(0))
+    hit = lambda i: F.exists("hits", lambda h: (h["pos"] <= i) & (i < h["pos"] + h["len"]))
     kept = F.transform(words, lambda w, i: F.when(hit(i), F.lit("")).otherwise(F.concat(w, F.coalesce(F.get(gaps, i + 1), F.lit("")))))
-    stripped = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(F.concat(gaps[0], F.concat_ws("", kept)))
-    return joined.select(*[(stripped if c == "text" else F.col(c)).alias(c) for c in docs.columns])
+    stripped = F.when(F.col("hits").isNull(), text).otherwise(F.concat(gaps[0], F.concat_ws("", kept)))
+    return joined.select(*[stripped.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -70,11 +70,13 @@ def recurring_lines(docs: DataFrame, depth=DEPTH, min_docs=MIN_DOCS, min_tokens=
     parts = distinct.join(fixed, ["leaf", "h"], "left").select("leaf", "h", F.split("line", " ").alias("t"), F.coalesce("fixed", F.array().cast("array<int>")).alias("fixed"))
     shown = F.transform("t", lambda t, i: F.when((i < depth) | F.array_contains("fixed", i), t).otherwise("<*>"))
     templates = parts.select("leaf", "h", shown.alias("shown")).select("leaf", "h", F.xxhash64("shown").alias("template"), (F.size(F.filter("shown", lambda t: t != "<*>")) / F.size("shown")).alias("share"))
-    placed = lines.select("k", "doc_id", "line_no", "leaf", "h").join(templates.where(F.col("share") >= min_fixed).select("leaf", "h", "template"), ["leaf", "h"])
+    # plain tables, so that a join with a line or template that everyone has can be broadcast or split
+    templates = materialize(templates.where(F.col("share") >= min_fixed).select("leaf", "h", "template"), "templates")
+    placed = lines.select("k", "doc_id", "line_no", "leaf", "h").join(templates, ["leaf", "h"])
     # a line and its document, merged before documents are counted
     per_doc = placed.groupBy("leaf", "template", "k").agg(F.min(F.struct("doc_id", "k", "line_no")).alias("first"))
     recurring = per_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs)
-    dropped = placed.join(recurring.select("leaf", "template", "first"), ["leaf", "template"])
+    dropped = placed.join(materialize(recurring.select("leaf", "template", "first"), "recurring"), ["leaf", "template"])
     return dropped.where((F.col("k") != F.col("first.k")) | (F.col("line_no") != F.col("first.line_no"))).select("k", "line_no").distinct()
 
 
@@ -105,7 +107,8 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     ``min_tokens`` tokens) always stay. A document keeps its row even if all
     its lines go. Rows that repeat id and text lose the same lines; among equal
     first ids the row's key decides. Documents without such lines are not
-    changed in a byte.
+    changed in a byte. Texts and lines of any length are read whole; an empty
+    table gives an empty result; no name of another column clashes.
     """
     shared = {n: v for n, v in options.items() if n != "depth"}
     return cut_lines(docs, recurring_lines(docs, **options).union(repeated_lines(docs, **shared)).distinct())
@@ -122,15 +125,17 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
 
 
 def cut_lines(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the lines ``k, line_no`` of ``dropped``; adds ``n_lines`` and ``n_dropped``."""
-    drops = dropped.groupBy("k").agg(F.sort_array(F.collect_list("line_no")).alias("_drop")).withColumnRenamed("k", "_k")
-    joined = docs.withColumn("_dk", doc_key(F.col("doc_id"), F.col("text"))).join(drops, F.col("_dk") == F.col("_k"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_drop", i)), "\n")
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)
-    plain = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    out = joined.select(*plain, text.alias("text"), n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    """``docs`` without the lines ``k, line_no`` of ``dropped``; adds ``n_lines`` and ``n_dropped``, in place of columns of these names."""
+    drops = dropped.groupBy("k").agg(F.sort_array(F.collect_list("line_no")).alias("drop"))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), doc_key(F.col("doc_id"), F.col("text")).alias("k"))
+    joined = rows.join(drops, "k", "left")
+    text = F.col("row.text")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("drop", i)), "\n")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1)
+    cut = F.when(F.col("drop").isNull(), text).otherwise(kept)
+    plain = [cut.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns]
+    return joined.select(*plain, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN comp USING (doc_id)
 OP5_SQL = r"""
 WITH raw AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
 masked AS (SELECT doc_id, line_no, raw, trim(regexp_replace(regexp_replace(raw, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM raw),
-lines AS (SELECT doc_id, line_no, line, t, len(t) AS n, array_to_string(t[1:4], ' ') AS lead FROM (SELECT *, string_split(line, ' ') AS t FROM masked WHERE line <> '') WHERE len(t) >= 3),
+lines AS (SELECT doc_id, line_no, raw, line, t, len(t) AS n, array_to_string(t[1:4], ' ') AS lead FROM (SELECT *, string_split(line, ' ') AS t FROM masked WHERE line <> '') WHERE len(t) >= 3),
 busy AS (SELECT n, lead FROM lines GROUP BY ALL HAVING count(*) >= 10),
 dist AS (SELECT n, lead, line, t, count(DISTINCT doc_id) AS docs FROM lines JOIN busy USING (n, lead) GROUP BY ALL),
 tok AS (SELECT n, lead, line, docs, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS token FROM dist),
@@ -95,7 +95,12 @@ marked AS (SELECT tok.*, coalesce(c, pos < 4 AND token <> '<*>') AS fixed FROM t
 temp AS (SELECT n, lead, line, string_agg(CASE WHEN fixed THEN token ELSE '<*>' END, ' ' ORDER BY pos) AS template FROM marked GROUP BY 1, 2, 3 HAVING avg(fixed::INT) >= 0.5),
 placed AS (SELECT doc_id, line_no, n, lead, template FROM lines JOIN temp USING (n, lead, line)),
 rec AS (SELECT n, lead, template, min((doc_id, line_no)) AS f FROM placed GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
-drops AS (SELECT doc_id, line_no FROM placed JOIN rec USING (n, lead, template) WHERE (doc_id, line_no) <> f),
+exact AS (SELECT doc_id, line_no, n, line, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS whole,
+                 contains(line, '<*>') AND 1 - len(list_filter(t, lambda x: x = '<*>')) / n < 0.5 AS numbers FROM lines),
+rep AS (SELECT doc_id, line_no, numbers, CASE WHEN numbers THEN whole ELSE line END AS key, CASE WHEN n >= 50 THEN 2 ELSE 10 END AS least FROM exact WHERE n >= 50 OR numbers),
+twice AS (SELECT numbers, key, least, min((doc_id, line_no)) AS f FROM rep GROUP BY ALL HAVING count(DISTINCT doc_id) >= least),
+drops AS (SELECT doc_id, line_no FROM placed JOIN rec USING (n, lead, template) WHERE (doc_id, line_no) <> f
+          UNION SELECT doc_id, line_no FROM rep JOIN twice USING (numbers, key, least) WHERE (doc_id, line_no) <> f),
 kept AS (SELECT doc_id, count(*) AS n_lines, count(d.line_no) AS n_dropped, string_agg(CASE WHEN d.line_no IS NULL THEN raw END, chr(10) ORDER BY line_no) AS t
          FROM raw LEFT JOIN drops d USING (doc_id, line_no) GROUP BY 1)
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
