@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        if not configured and not sc.master.startswith("local["):
+        if not configured and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lanternwatch-"))
     return sc._jsc.sc().getCheckpointDir().get()

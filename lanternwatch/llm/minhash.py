@@ -33,8 +33,8 @@ K, CHUNKS = 64, 16
 SHINGLE_WORDS = 4
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Members of a bucket that are compared in one task with as many others.
-BLOCK = 1024
+#: Members of a bucket, and shingles of theirs, that are compared in one task with as many others (on average).
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 2**64, K, dtype=np.uint64) | np.uint64(1)
@@ -103,7 +103,7 @@ def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         sets = [shingle_set(t) for t in pdf["text"]]
-        yield pd.DataFrame({"node": pdf["node"], "members": [s.tobytes() for s in sets], "low": [s.astype(np.uint32).tobytes() for s in sets]})
+        yield pd.DataFrame({"node": pdf["node"], "members": [s.tobytes() for s in sets]})
 
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,59 +177,61 @@ def _plausible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links between different labels of a bucket, only as many as join the labels up."""
+    """Links between different labels of a bucket, only as many as join the labels up.
+
+    A row's intersections with all others are counted at once, from the list of
+    the members that hold each of its shingles.
+    """
     for pdf, starts in _groups(batches, ["key", "lo", "hi"]):
         out, nodes = [], pdf["node"].to_numpy()
         for a, b in zip(starts, np.append(starts, len(pdf))[1:], strict=True):
             part = pdf.iloc[a:b]
-            sets = [np.frombuffer(m, np.uint32) for m in part["members"]]
-            owner, flat = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
-            _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
-            shared = count[code] > 1  # the vocabulary that matters
-            _, code = np.unique(code[shared], return_inverse=True)
-            member = np.zeros((len(sets), int(code.max()) + 1 if len(code) else 1), np.float32)
-            np.add.at(member, (owner[shared], code), 1)
-            n, label = part["n"].to_numpy(), pd.factorize(part["label"])[0]
-            root = {}
-
-            def find(x, root=root):
-                while root.get(x, x) != x:
-                    x = root[x]
-                return x
-
-            for i, j in _pairs(part):
-                rows, back = np.unique(i, return_inverse=True)
-                both = (member[rows] @ member.T)[back, j]
-                linked = np.flatnonzero(100 * both >= PERCENT * (n[i] + n[j] - both))
-                for x, y in zip(i[linked], j[linked], strict=True):
-                    p, q = find(label[x]), find(label[y])
-                    if p != q:
-                        root[p] = q
-                        out.append((nodes[a + x], nodes[a + y]))
+            sets = [np.frombuffer(m, np.uint64) for m in part["members"]]
+            ends = np.cumsum([len(x) for x in sets])
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            holders, first = owner[np.argsort(code, kind="stable")], np.cumsum(count) - count
+            n, block, root = part["n"].to_numpy(), part["block"].to_numpy(), pd.factorize(part["label"])[0]
+            two = block.min() != block.max()
+            for i in range(len(sets)):
+                wanted = (root != root[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * PERCENT)
+                wanted &= (block != block[i]) if two else True
+                wanted[: i + 1] = False
+                if not wanted.any():
+                    continue
+                both, own = np.zeros(len(sets), np.int64), code[ends[i] - len(sets[i]) : ends[i]]
+                for k in range(0, len(own), 4096):
+                    size = count[own[k : k + 4096]]
+                    at = np.arange(size.sum()) + np.repeat(first[own[k : k + 4096]] - (np.cumsum(size) - size), size)
+                    both += np.bincount(holders[at], minlength=len(sets))
+                for j in np.flatnonzero(wanted & (100 * both >= PERCENT * (n[i] + n - both))):
+                    if root[j] != root[i]:
+                        root[root == root[j]] = root[i]
+                        out.append((nodes[a + i], nodes[a + j]))
         yield pd.DataFrame(out, columns=["a", "b"])
 
 
 def _node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, root`` for the nodes that share a bucket with another."""
     keys = nodes.select("node", "n", "sig").mapInPandas(_index, "key long, node binary, n long")
-    shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("b"), F.col("n").alias("nb"))).alias("lead")).where("c > 1")
-    keys = materialize(keys.join(shared.select("key", "c", "lead.b", "lead.nb"), "key"), "buckets")
+    shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("shingles"), F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("b"), F.col("n").alias("nb"))).alias("lead")).where("c > 1")
+    keys = materialize(keys.join(shared.select("key", "c", "shingles", "lead.b", "lead.nb"), "key"), "buckets")
     suspects = keys.select("node").distinct().join(nodes.select("node", "k"), "node")
     texts = docs.select(doc_key(F.col("doc_id"), F.col("text")).alias("k"), "text").join(suspects, "k").dropDuplicates(["node"])
-    sets = materialize(texts.select("node", "text").mapInPandas(_sets, "node binary, members binary, low binary"), "sets")
+    sets = materialize(texts.select("node", "text").mapInPandas(_sets, "node binary, members binary"), "sets")
     # every member of a bucket against its leader
     near = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * PERCENT
     pairs = keys.where(near & (F.col("node") != F.col("b"))).select(F.col("node").alias("a"), "b")
     labels = contract(_linked(pairs, sets))
     # what is left across components
-    labelled = keys.join(labels, "node", "left").select("key", "c", "node", "n", F.coalesce("root", "node").alias("label"))
+    labelled = keys.join(labels, "node", "left").select("key", "c", "shingles", "node", "n", F.coalesce("root", "node").alias("label"))
     mixed = labelled.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("key")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     rows = labelled.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label", "n").join(nodes.select("node", "sig"), "node")
     plausible = materialize(_by_bucket(rows).mapInPandas(_plausible, "key long, lo int, hi int, block int, node binary, label binary, n long"), "plausible")
-    found = _by_bucket(plausible.join(sets.select("node", F.col("low").alias("members")), "node")).mapInPandas(_forest, "a binary, b binary")
-    confirmed = materialize(_linked(found, sets), "edges")
+    found = _by_bucket(plausible.join(sets, "node")).mapInPandas(_forest, "a binary, b binary")
+    confirmed = materialize(found.distinct(), "edges")
     if confirmed.isEmpty():
         return labels
     to = labels.withColumnRenamed("root", "label")
@@ -245,7 +247,7 @@ def _by_bucket(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document row: ``doc_id, n_shingles, component_id, kept`` and the row's key ``k``.
+    """One row per document row: ``doc_id, n_shingles, component_id, kept`` and the row's key ``k``. Whole texts of any length.
 
     Null and empty texts have no shingles and are linked with nothing. Rows
     that repeat an id are separate members with that id; a null id belongs to
@@ -266,5 +268,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group, the one with the smallest id; all columns stay as they are."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("k").alias("_k")).distinct()
-    return docs.join(gone, doc_key(docs["doc_id"], docs["text"]) == gone["_k"], "left_anti")
+    gone = near_duplicates(docs).where("not kept").select("k").distinct()
+    rows = docs.select(F.struct("*").alias("row"), doc_key(F.col("doc_id"), F.col("text")).alias("k"))
+    return rows.join(gone, "k", "left_anti").select("row.*")
