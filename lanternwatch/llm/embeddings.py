@@ -31,10 +31,10 @@ from lanternwatch.llm.components import contract
 
 THRESHOLD = 0.98
 #: Vectors of a label whose tree is built in one task; a task holds two such cells at most.
-CELL = 4096
+CELL = 8192
 #: Nodes of the tree with so many points or fewer are compared without descending further.
 BASE = 16
-#: Members of a cell drawn to pick its net from, about; and the most centres of a net.
+#: Members of a cell drawn to pick its net from, about; and the most centres of a net (fewer where a few cells will do).
 SAMPLE, MAX_CENTRES = 1024, 128
 #: For rounding: distances come from products of unit vectors. Only ever keeps pairs that could have been left out.
 SLACK = 1e-6
@@ -143,7 +143,7 @@ def _net(pdf: pd.DataFrame) -> pd.DataFrame:
     half, chosen, rest = pdf["radius"].iloc[0] / 2, [0], np.arange(len(x))
     while True:
         rest = rest[_apart(x[rest], x[chosen[-1:]])[:, 0] > half]
-        if not len(rest) or len(chosen) == MAX_CENTRES:
+        if not len(rest) or len(chosen) == pdf["most"].iloc[0]:
             break
         chosen.append(int(rest[0]))
     return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "centres": [x[chosen].tolist()]})
@@ -171,8 +171,8 @@ def _split(members: DataFrame, centres: DataFrame, depth: int, reach: float) ->
     if large.isEmpty():
         return None
     chance = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(1 << 30)) < F.lit(float(SAMPLE << 30)) / F.col("n")
-    solid = F.col("radius") < reach / 4
-    drawn = members.join(large.where(~solid), "cell").where(chance).select("cell", "node", "vector", "centre", "radius")
+    solid, most = F.col("radius") < reach / 4, F.least(F.lit(MAX_CENTRES), F.greatest(F.lit(2), F.ceil(2 * F.col("n") / CELL)))
+    drawn = members.join(large.where(~solid), "cell").where(chance).select("cell", "node", "vector", "centre", "radius", most.alias("most"))
     nets = drawn.groupBy("cell").applyInPandas(_net, "cell string, centres array<array<double>>")
     large = materialize(large.join(nets, "cell", "left").withColumn("centres", F.coalesce("centres", F.array("centre"))), "nets")
     joined = members.join(large.select("cell", "n", "centres", solid.alias("solid")), "cell", "left")
