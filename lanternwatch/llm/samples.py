@@ -33,3 +33,12 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, per_class: int, mo
     pdf["weight"] = pdf["y"].map({y: c / min(c, per_class) for y, c in counts.items()}).astype(float)
     pdf["weight"] /= max(pdf["weight"].mean(), 1e-9) if len(pdf) else 1.0
     return pdf[["text", "y", "weight"]]
+
+
+def unlabelled(docs: DataFrame, labels: DataFrame, n: int, modulus: int = 5, held: int = 0, longest: int = 40_000) -> list[str]:
+    """About ``n`` texts without any label, drawn by hash from the rows not held out; two times ``n`` at most."""
+    free = docs.where(F.col("doc_id").isNotNull() & (F.length("text") <= longest) & (remainder(F.col("doc_id"), modulus) != held)).select("doc_id", "text")
+    h = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30))
+    drawn = free.where(h < F.lit(float(1 << 30)) * n / max(1, docs.count()))
+    drawn = drawn.join(labels.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti")
+    return [r["text"] for r in drawn.orderBy("doc_id", "text").limit(2 * n).collect()]
