@@ -33,7 +33,7 @@ SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
 GRAMS = (4, 5, 7)
 #: A mark or slot is used if it occurs in so many documents of the sample and tells the classes apart by so much (log odds).
-MIN_DOCS, MIN_ODDS, MIN_SLOT_ODDS = 3, 2.0, 2.0
+MIN_DOCS, MIN_ODDS, MIN_SLOT_ODDS = 3, 2.0, 2.5
 #: Learnt voters, one mark each, and the lengths of word beginnings. A mark's log odds count less two standard errors.
 LEARNT_VOTERS, BEGINNINGS = 128, range(3, 9)
 #: Dense is what comes at least twice, and once in so many words.
@@ -116,7 +116,7 @@ class LabelModel:
 
     def __init__(self, votes: np.ndarray, start: np.ndarray, known: np.ndarray, weight: np.ndarray, rounds: int = 20):
         q, m = np.clip(start, 0.02, 0.98), votes.shape[1]
-        self.share = np.ones(m)
+        self.share, seen = np.ones(m), votes.sum(axis=0) >= MIN_DOCS
         for _ in range(rounds):
             wq, wn = weight * q, weight * (1 - q)
             self.prior = float(np.clip(wq.sum() / max(weight.sum(), 1e-9), 1e-3, 1 - 1e-3))
@@ -127,7 +127,7 @@ class LabelModel:
             cov = residual.T @ residual
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             self.correlation = cov / np.outer(sd, sd)
-            linked = np.where(np.abs(self.correlation) > 0.4, np.abs(self.correlation), 0.0)
+            linked = np.where((self.correlation > 0.4) & seen & seen[:, None], self.correlation, 0.0)
             np.fill_diagonal(linked, 1.0)
             self.share = 1 / linked.sum(axis=1)
             q = self.posterior(votes, known)
