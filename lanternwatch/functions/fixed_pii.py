@@ -5,7 +5,7 @@ These must equal the published detector's for equal results.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from lanternwatch.functions.regexes import Pattern
 
@@ -25,6 +25,9 @@ V1 = [
     Pattern("DRIVER_LICENSE", r"\b(?:DL|Driver['\s]?s?\s+License)[#:\s]+[A-Z0-9]{5,15}\b", "i"),
     Pattern("STUDENT_RECORD", r"\b(?:Student\s*ID|StudentID|Roll\s*No|Roll\s*Number|Student\s*Record)[#:\s]+[A-Z0-9\-]{3,20}\b", "i"),
 ]
+#: What a text must hold for a pattern to occur in it; not part of the fixed values.
+_NEEDS = {"EMAIL": "@", "DATE_OF_BIRTH": "[0-9]", "IP_ADDRESS": r"[0-9]\.[0-9]", "DRIVER_LICENSE": "(?i)dl|license", "STUDENT_RECORD": "(?i)student|roll"}
+V1 = [replace(p, needs=_NEEDS.get(p.name, "[0-9]{2}")) for p in V1]
 LABELS = {
     "EMAIL": "[REDACTED-EMAIL]", "PHONE": "[REDACTED-PHONE]", "SSN": "[REDACTED-SSN]", "CREDIT_CARD": "[REDACTED-CC]", "DATE_OF_BIRTH": "[REDACTED-DOB]",
     "MEDICAL_RECORD_NUMBER": "[REDACTED-MRN]", "PASSPORT": "[REDACTED-PASSPORT]", "IP_ADDRESS": "[REDACTED-IP]", "IPV6": "[REDACTED-IPV6]", "BANK_ACCOUNT": "[REDACTED-BANK-ACCT]",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,36 +15,48 @@ _CONTROL_PAIR = "\x01$0\x02"
 
 @dataclass(frozen=True)
 class Pattern:
-    """``flags``: any of i (case), s (dot matches newline), m (lines)."""
+    """``flags``: any of i (case), s (dot matches newline), m (lines).
+
+    ``needs``: a cheap pattern that occurs wherever this one does; it is tried first.
+    ``ascii``: for texts of ASCII alone, where Java's own word boundary will do.
+    """
 
     name: str
     regex: str
     flags: str = ""
     risk: str = "HIGH"
     group: str = "standard"
+    needs: str = ""
+    ascii: bool = False
 
     @property
     def java(self) -> str:
         flags = self.flags + ("u" if "i" in self.flags and not self.regex.isascii() else "")
-        return (f"(?{flags})" if flags else "") + self.regex.replace(r"\b", _ASCII_BOUNDARY)
+        return (f"(?{flags})" if flags else "") + (self.regex if self.ascii else self.regex.replace(r"\b", _ASCII_BOUNDARY))
 
     @property
     def re2(self) -> str:
         return (f"(?{self.flags})" if self.flags else "") + self.regex
 
     def found(self, text: Column) -> Column:
-        return text.rlike(self.java)
+        return text.rlike(self.needs) & text.rlike(self.java) if self.needs else text.rlike(self.java)
 
     def sql_found(self, text: str) -> str:
         return f"regexp_matches({text}, {quoted(self.re2)})"
 
     def all(self, text: Column, group: int = 0) -> Column:
-        return F.regexp_extract_all(text, F.lit(self.java), F.lit(group))
+        found = F.regexp_extract_all(text, F.lit(self.java), F.lit(group))
+        return F.when(text.rlike(self.needs), found).when(text.isNotNull(), F.array().cast("array<string>")) if self.needs else found
 
     def sql_all(self, text: str, group: int = 0) -> str:
         return f"regexp_extract_all({text}, {quoted(self.re2)}, {group})"
 
 
+def by_width(text: Column, patterns: Sequence[Pattern], make: Callable[[list[Pattern]], Column]) -> Column:
+    """``make(patterns)`` of a text column; ASCII rows take the cheaper word boundary."""
+    return F.when(F.octet_length(text) == F.char_length(text), make([replace(p, ascii=True) for p in patterns])).otherwise(make(list(patterns)))
+
+
 def quoted(s: str) -> str:
     """SQL string literal; newlines and control characters are left as they are."""
     return "'" + s.replace("'", "''") + "'"
@@ -53,9 +66,10 @@ def spans(text: Column, java: str) -> Column:
     """``array<struct<s, e, m>>`` of all matches: start and end in code points from 0, and the matched text.
 
     Marks every match with two control characters and walks the pieces between
-    them; those characters are taken out of the input first.
+    them. Those of the input count as another control character, so that every
+    offset is one of the text as it came.
     """
-    clean = F.translate(text, "\x01\x02", "")
+    clean = F.translate(text, "\x01\x02", "\x03\x03")
     pieces = F.split(F.regexp_replace(clean, java, _CONTROL_PAIR), "\x01")
     start = F.struct(F.char_length(pieces[0]).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("found"))
 

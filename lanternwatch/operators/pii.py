@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
+from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lanternwatch.functions import checksums
 from lanternwatch.functions.fixed_pii import LABELS, PHI, SECRETS, V1, V2, Layer
-from lanternwatch.functions.regexes import Pattern, spans
+from lanternwatch.functions.regexes import Pattern, by_width, spans
 
 MIN_CONFIDENCE, VALIDATOR_BONUS, CONTEXT_BONUS, CONTEXT_RADIUS, NO_CONTEXT_FLOOR = 0.5, 0.3, 0.25, 40, 0.6
 
@@ -29,20 +34,25 @@ def typed_matches(p: Pattern, text: str) -> Column:
 
 
 def scan_patterns(df: DataFrame, keys: Sequence[str], text: str, patterns: Sequence[Pattern]) -> DataFrame:
-    found = F.concat(*[typed_matches(p, text) for p in patterns])
+    found = by_width(F.col(text), patterns, lambda ps: F.concat(*[typed_matches(p, text) for p in ps]))
     return df.where(F.col(text).isNotNull()).select(*keys, F.explode(found).alias("f")).select(*keys, "f.type", "f.value")
 
 
 def redact_v1(text: Column) -> Column:
-    """Replaces in layer order, each on the text the earlier layers left."""
-    for p in V1:
-        text = F.regexp_replace(text, p.java, LABELS[p.name])
-    return text
+    """Replaces in layer order, each on the text the earlier layers left. Texts in which no pattern can occur pass."""
+
+    def replaced(patterns: list[Pattern]) -> Column:
+        out = text
+        for p in patterns:
+            out = F.regexp_replace(out, p.java, LABELS[p.name])
+        return out
+
+    return F.when(text.rlike("|".join(sorted({p.needs for p in V1}))), by_width(text, V1, replaced)).otherwise(text)
 
 
 def types_v1(text: Column) -> Column:
     """Types of the flat patterns that occur."""
-    return F.array_compact(F.array(*[F.when(p.found(text), p.name) for p in V1]))
+    return by_width(text, V1, lambda ps: F.array_compact(F.array(*[F.when(p.found(text), p.name) for p in ps])))
 
 
 def phi_flag(text: Column) -> Column:
@@ -72,7 +82,11 @@ def _layer(layer: Layer, text: str) -> Column:
 def findings(text: str, layers: Sequence[Layer] = V2) -> Column:
     """Array of scored findings of all layers. A layer's work starts only where its pattern occurs."""
     empty = "array<struct<type:string,sample:string,start:int,end:int,confidence:double,validators:array<string>,hint:string>>"
-    return F.concat(*[F.when(x.pattern.found(F.col(text)), _layer(x, text).cast(empty)).otherwise(F.array().cast(empty)) for x in layers])
+
+    def every(patterns: list[Pattern]) -> Column:
+        return F.concat(*[F.when(p.found(F.col(text)), _layer(replace(x, pattern=p), text).cast(empty)).otherwise(F.array().cast(empty)) for p, x in zip(patterns, layers, strict=True)])
+
+    return by_width(F.col(text), [x.pattern for x in layers], every)
 
 
 def scan_pii(df: DataFrame, keys: Sequence[str], text: str = "text", layers: Sequence[Layer] = V2) -> DataFrame:
@@ -100,6 +114,48 @@ def redact(df: DataFrame, text: str = "text", out: str = "redacted") -> DataFram
     return df.withColumn("_f", findings(text)).withColumn(out, folded).drop("_f")
 
 
+def scan_and_redact(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``pii`` and ``secrets`` (types found, secrets in what the first redaction left), ``redacted`` and ``has_findings``."""
+    once = df.withColumn("_r", F.explode(F.array(F.struct(redact_v1(F.col(text)).alias("t"), types_v1(F.col(text)).alias("p")))))
+    secrets = F.array_compact(F.array(*[F.when(p.found(F.col("_r.t")), p.name) for p in SECRETS]))
+    out = F.col("_r.t")
+    for p in SECRETS:
+        out = F.regexp_replace(out, p.java, f"[REDACTED-{p.name}]")
+    added = once.withColumns({"pii": F.col("_r.p"), "secrets": secrets, "redacted": out}).drop("_r")
+    return added.withColumn("has_findings", (F.size("pii") > 0) | (F.size("secrets") > 0))
+
+
+def _walk(value, patterns):
+    if isinstance(value, str):
+        for pattern, label in patterns:
+            value = pattern.sub(label, value)
+        return value
+    if isinstance(value, list):
+        return [_walk(v, patterns) for v in value]
+    return {k: _walk(v, patterns) for k, v in value.items()} if isinstance(value, dict) else value
+
+
+@F.pandas_udf(T.StringType())
+def redact_for_persistence(text: pd.Series) -> pd.Series:
+    """JSON with every string in it redacted, at any depth: personal data, then secrets. What is no JSON is redacted as text.
+
+    Only the walk over nested values is Python; keys stay as they are.
+    """
+    flags = {"i": re.I, "s": re.S, "m": re.M}
+    compiled = [(re.compile(p.regex, re.A | sum(flags[f] for f in p.flags)), LABELS.get(p.name, f"[REDACTED-{p.name}]")) for p in [*V1, *SECRETS]]
+
+    def clean(t: str | None) -> str | None:
+        if t is None:
+            return None
+        try:
+            value = json.loads(t)
+        except ValueError:
+            return _walk(t, compiled)
+        return json.dumps(_walk(value, compiled), ensure_ascii=False, separators=(",", ":"))
+
+    return text.map(clean)
+
+
 def pii_audit(found: DataFrame, by: Sequence[str], kind: str = "type") -> DataFrame:
     """Findings and distinct values by the given columns and type."""
     value = "sample" if "sample" in found.columns else "value"

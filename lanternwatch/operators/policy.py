@@ -254,20 +254,20 @@ def decide(calls: DataFrame, threshold: str = "HIGH", stages: Sequence[str] = ST
     said = F.array_compact(F.array(*[r.evaluate(tool, args) for r in RULES]))
     # exploding an array of one keeps later filters from copying the expressions below them
     once = lambda df, column, name: df.select("*", F.explode(F.array(column)).alias(name))
-    calls = once(calls, F.struct(said.alias("said"), injection.standard(body).alias("injected")), "_found")
+    calls = calls.withColumn("_plain", injection.canonical(body))
+    calls = once(calls, F.struct(said.alias("said"), injection.every_stage(body, F.col("_plain")).alias("injected"), injection.offensive(body).alias("offensive")), "_found")
     hard = F.filter("_found.said", lambda o: o["action"] == "BLOCK")
     soft = F.filter("_found.said", lambda o: o["action"] != "BLOCK")
     level = risk_level(tool)
     dynamic = lambda action, risk, reason, rule: F.struct(F.lit(action).alias("action"), risk.alias("risk"), F.lit(reason).alias("reason"), F.lit(rule).alias("rule"))
-    offensive = F.coalesce(*[F.when(p.found(body), p.group) for p, _ in injection.OFFENSIVE])
     result = {
         "hard_rule": F.get(hard, 0),
         "injection": F.when(F.exists("_found.injected", lambda f: f["risk"] == "HIGH"), outcome("BLOCK", "HIGH", "injected instructions", "prompt-injection")),
-        "offensive": F.when(offensive.isNotNull() & ~F.coalesce(F.greatest(*[p.found(body) for p in injection.DEFENSIVE]), F.lit(False)), outcome("BLOCK", "CRITICAL", offensive, "offensive-request")),
+        "offensive": F.when(F.col("_found.offensive.detected"), outcome("BLOCK", "CRITICAL", F.col("_found.offensive.category"), "offensive-request")),
         "taint": F.when(F.col("_taint") & sensitive_sink(tool), outcome("REQUIRES_APPROVAL", "HIGH", "untrusted data in a sensitive sink", "taint-flow")),
         "chain": F.when(F.col("_chain"), F.struct(F.lit("REQUIRES_APPROVAL").alias("action"), F.lit("HIGH").alias("risk"), F.col("_chain_chain_id").alias("reason"), F.lit("attack-chain").alias("rule"))),
         "soft_rule": F.get(soft, 0),
-        "pii": F.when(F.size(pii.types_v1(body)) > 0, dynamic("REDACT", level, "personal data", "pii-redact")),
+        "pii": F.when(F.size(pii.findings(text)) > 0, dynamic("REDACT", level, "personal data", "pii-redact")),
         "anomaly": F.when(F.col("_anomaly_score") >= anomaly_score, dynamic("REQUIRES_APPROVAL", level, "anomaly", "anomaly")),
         "rbac": F.when(~may_execute(F.col("role"), tool), dynamic("BLOCK", level, "role", "rbac")),
         "threshold": F.when(requires_approval(tool, threshold), dynamic("REQUIRES_APPROVAL", level, "risk threshold", "risk-threshold")),

@@ -28,5 +28,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose rows are scanned at length. A file of few row groups is dealt to all cores first; a large table has splits enough."""
+    rows, cores = table(spark, sf, name), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= 4 * cores else rows.repartition(4 * cores)
+
+
 def calls(spark: SparkSession, sf: str) -> DataFrame:
     return calls_from_events(table(spark, sf, "events"))

@@ -9,7 +9,6 @@ from lanternwatch.functions.fixed_pii import V1
 from lanternwatch.functions.regexes import quoted
 from lanternwatch.operators import audit, flow, ledger, pii, policy, sequence
 from lanternwatch.plans.common import calls, query, table
-from lanternwatch.sources.calls import PHRASES
 
 
 def _case(key: str, values: dict, default: str = "NULL") -> str:
@@ -352,5 +351,3 @@ def l4(spark, sf):
     sealed = ledger.encrypt_columns(calls(spark, sf).select("request_id", "args"), ["args"], key).withColumn("sealed", F.col("args").startswith(ledger.PREFIX))
     return ledger.decrypt_columns(sealed, ["args"], key)
 
-
-assert PHRASES
