@@ -83,10 +83,18 @@ def findings(text: str, layers: Sequence[Layer] = V2) -> Column:
     """Array of scored findings of all layers. A layer's work starts only where its pattern occurs."""
     empty = "array<struct<type:string,sample:string,start:int,end:int,confidence:double,validators:array<string>,hint:string>>"
 
-    def every(patterns: list[Pattern]) -> Column:
-        return F.concat(*[F.when(p.found(F.col(text)), _layer(replace(x, pattern=p), text).cast(empty)).otherwise(F.array().cast(empty)) for p, x in zip(patterns, layers, strict=True)])
+    ascii_only, col = F.octet_length(text) == F.char_length(text), F.col(text)
+    occurs = lambda p: F.when(ascii_only, replace(p, ascii=True).found(col)).otherwise(p.found(col))
+    return F.concat(*[F.when(occurs(x.pattern), _layer(x, text).cast(empty)).otherwise(F.array().cast(empty)) for x in layers])
 
-    return by_width(F.col(text), [x.pattern for x in layers], every)
+
+#: What a text must hold for any scored layer to find something in it.
+ANY_LAYER = r"[0-9]{2}|@|::|(?i:dl|license|student|roll)|[A-Z]{6}|[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}|bc1"
+
+
+def holds_pii(text: str) -> Column:
+    """Whether the layered scan finds anything; texts in which no layer can are passed over."""
+    return F.coalesce(F.when(F.col(text).rlike(ANY_LAYER), F.size(findings(text)) > 0), F.lit(False))
 
 
 def scan_pii(df: DataFrame, keys: Sequence[str], text: str = "text", layers: Sequence[Layer] = V2) -> DataFrame:

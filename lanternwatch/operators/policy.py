@@ -255,7 +255,7 @@ def decide(calls: DataFrame, threshold: str = "HIGH", stages: Sequence[str] = ST
     # exploding an array of one keeps later filters from copying the expressions below them
     once = lambda df, column, name: df.select("*", F.explode(F.array(column)).alias(name))
     calls = calls.withColumn("_plain", injection.canonical(body))
-    calls = once(calls, F.struct(said.alias("said"), injection.every_stage(body, F.col("_plain")).alias("injected"), injection.offensive(body).alias("offensive")), "_found")
+    calls = once(calls, F.struct(said.alias("said"), F.when(F.length(body) > 0, injection.every_stage(body, F.col("_plain"))).otherwise(F.array().cast(injection.FINDING)).alias("injected"), injection.offensive(body).alias("offensive")), "_found")
     hard = F.filter("_found.said", lambda o: o["action"] == "BLOCK")
     soft = F.filter("_found.said", lambda o: o["action"] != "BLOCK")
     level = risk_level(tool)
@@ -267,7 +267,7 @@ def decide(calls: DataFrame, threshold: str = "HIGH", stages: Sequence[str] = ST
         "taint": F.when(F.col("_taint") & sensitive_sink(tool), outcome("REQUIRES_APPROVAL", "HIGH", "untrusted data in a sensitive sink", "taint-flow")),
         "chain": F.when(F.col("_chain"), F.struct(F.lit("REQUIRES_APPROVAL").alias("action"), F.lit("HIGH").alias("risk"), F.col("_chain_chain_id").alias("reason"), F.lit("attack-chain").alias("rule"))),
         "soft_rule": F.get(soft, 0),
-        "pii": F.when(F.size(pii.findings(text)) > 0, dynamic("REDACT", level, "personal data", "pii-redact")),
+        "pii": F.when(pii.holds_pii(text), dynamic("REDACT", level, "personal data", "pii-redact")),
         "anomaly": F.when(F.col("_anomaly_score") >= anomaly_score, dynamic("REQUIRES_APPROVAL", level, "anomaly", "anomaly")),
         "rbac": F.when(~may_execute(F.col("role"), tool), dynamic("BLOCK", level, "role", "rbac")),
         "threshold": F.when(requires_approval(tool, threshold), dynamic("REQUIRES_APPROVAL", level, "risk threshold", "risk-threshold")),
@@ -296,6 +296,15 @@ FRAMEWORKS = {
 }
 
 
+SOX_TOOLS = "payment|payout|invoice|ledger|financial_(report|disclosure)|\\bgaap\\b"
+EU_DOMAINS = ("eu", "uk", "de", "fr", "it", "es", "nl", "be", "se", "no", "fi", "dk", "pl", "cz", "at", "ie", "pt", "gr")
+#: Where each framework speaks of what was found; short names of the published texts.
+CITATIONS = {
+    "PCI_DSS": "PCI DSS v4.0 Req 3", "HIPAA": "45 CFR 164.514(b)(2)", "GDPR": "GDPR Art. 4(1), 6, 32", "CCPA": "CCPA 1798.140(o)", "SOX": "SOX 404", "FERPA": "20 USC 1232g; 34 CFR 99", "DPDP": "DPDP Act 2023, 3, 8",
+}
+DISCLAIMER = "Triage signal from pattern matching, not a legal determination."
+
+
 def regulatory_hints(found: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``keys, framework, n_types, confidence`` from findings with ``type`` and ``confidence``; triage signals, no legal findings."""
     best = found.groupBy(*keys, "type").agg(F.max("confidence").alias("confidence"))
@@ -304,3 +313,80 @@ def regulatory_hints(found: DataFrame, keys: Sequence[str]) -> DataFrame:
     per = best.select(*keys, "type", "confidence", F.explode(tags).alias("framework")).groupBy(*keys, "framework").agg(F.count("*").alias("n_types"), F.max("confidence").alias("_best"))
     score = F.coalesce(*[F.when(F.col("framework") == n, F.lit(base) + F.lit(step) * F.col("n_types")) for n, (_, base, step) in FRAMEWORKS.items()], F.col("_best"))
     return per.select(*keys, "framework", "n_types", F.least(F.lit(1.0), score).alias("confidence"))
+
+
+def call_hints(calls: DataFrame, found: DataFrame) -> DataFrame:
+    """``request_id, framework, n_types, confidence, citation, disclaimer`` of calls.
+
+    By the personal data found in them (``found``: request_id, type,
+    confidence), by tool names of financial actions (SOX), and by a mail
+    address under a European domain where nothing else says GDPR.
+    """
+    by_type = regulatory_hints(found, ["request_id"])
+    hint = lambda name, confidence: F.struct(F.lit(name).alias("framework"), F.lit(0).cast("long").alias("n_types"), F.lit(confidence).alias("confidence"))
+    mail = F.lower("args").rlike(r"@[a-z0-9.-]+\.(?:" + "|".join(EU_DOMAINS) + r")(?:[^a-z]|$)")
+    named = F.array_compact(F.array(F.when(F.lower("tool_name").rlike(SOX_TOOLS), hint("SOX", 0.55)), F.when(mail, hint("GDPR", 0.4))))
+    by_call = calls.select("request_id", F.explode(named).alias("h")).select("request_id", "h.*")
+    both = by_type.unionByName(by_call).groupBy("request_id", "framework").agg(F.max_by(F.struct("n_types", "confidence"), F.struct("n_types", "confidence")).alias("h"))
+    return both.select("request_id", "framework", "h.*", lookup(F.col("framework"), CITATIONS).alias("citation"), F.lit(DISCLAIMER).alias("disclaimer"))
+
+
+#: What to do instead, by rule; our own wording.
+SAFE_ALTERNATIVES = {
+    "dangerous-shell": "Run a narrower command inside the sandbox.", "dangerous-sql": "Add a WHERE clause and run the statement in a transaction.", "external-email-pii": "Remove personal data or send to a corporate address.",
+    "production-deploy": "Deploy to staging and attach a change ticket.", "payment": "Prepare a draft payment for approval.", "social-publish": "Create a draft.", "filesystem-sandbox": "Use a path inside the sandbox.",
+    "browser-scrape": "Fetch from an allowed host over https.", "prompt-injection": "Send the text without quoted instructions.", "offensive-request": "Ask for an audit or hardening, with authorisation.",
+    "taint-flow": "Summarise the untrusted content before it is sent on.", "attack-chain": "Do not pass on the output of the call before; ask again after a review.",
+}
+
+
+def safe_alternative(decisions: DataFrame, advice: DataFrame | None = None) -> DataFrame:
+    """Adds ``safe_alternative``: the rule's, else the rewrite advised for the tool (``advice``: tool_name, safe_rewrite)."""
+    own = lookup(F.col("rule"), SAFE_ALTERNATIVES)
+    if advice is None:
+        return decisions.withColumn("safe_alternative", own)
+    rewrites = advice.groupBy("tool_name").agg(F.min("safe_rewrite").alias("_rewrite"))
+    return decisions.join(rewrites, "tool_name", "left").withColumn("safe_alternative", F.coalesce(own, "_rewrite")).drop("_rewrite")
+
+
+# Rules whose blocks are final, whatever their risk.
+NEVER_OVERRIDABLE = (
+    "dangerous-shell-fork-bomb", "dangerous-shell-disk-wipe", "dangerous-shell-recursive-root-delete", "dangerous-sql-drop-without-where", "dangerous-sql-truncate",
+    "dangerous-sql-grant-superuser", "payment-no-idempotency", "production-deploy-no-ticket", "capability-token-replay", "capability-token-tampered",
+)
+#: The worst that can happen if the block was right, by rule or by its first two words; our own wording.
+WORST_CASES = {
+    "dangerous-shell": "Files outside the sandbox may be changed or lost.", "dangerous-sql": "More rows than meant may be changed or shown.", "external-email-pii": "Personal data may reach an outsider.",
+    "social-publish": "The post may be seen by everyone.", "browser-scrape": "The page may be hostile.", "filesystem-sandbox": "A path outside the sandbox may be written.", "production-deploy": "Live traffic may be affected.",
+}
+WORST_CASE = "The call may have side effects that were not meant."
+
+
+def override_offers(blocks: DataFrame) -> DataFrame:
+    """Offers for blocks that a person may override: ``request_id, rule, worst_case, scrutiny_calls, ttl_seconds``.
+
+    None for final rules, CRITICAL risks and sessions under scrutiny (column
+    ``under_scrutiny``, if there is one). HIGH risks get 10 calls of scrutiny
+    and 60 seconds, others 5 and 45.
+    """
+    free = ~F.coalesce("under_scrutiny", F.lit(False)) if "under_scrutiny" in blocks.columns else F.lit(True)
+    rule = F.coalesce("rule", F.lit("unknown-rule"))
+    rows = blocks.where((F.col("action") == "BLOCK") & ~rule.isin(*NEVER_OVERRIDABLE) & (F.col("risk") != "CRITICAL") & free)
+    high = F.col("risk") == "HIGH"
+    worst = F.coalesce(lookup(rule, WORST_CASES), lookup(F.substring_index(rule, "-", 2), WORST_CASES), F.lit(WORST_CASE))
+    return rows.select("request_id", rule.alias("rule"), worst.alias("worst_case"), F.when(high, 10).otherwise(5).alias("scrutiny_calls"), F.when(high, 60).otherwise(45).alias("ttl_seconds"))
+
+
+def validate_overrides(requests: DataFrame, blocks: DataFrame, offers: DataFrame, least_reason: int = 8) -> DataFrame:
+    """``override_id, request_id, refused``: the first reason against a request to override a block, null if it is accepted.
+
+    ``requests``: override_id, request_id, human_reason. ``blocks``: request_id,
+    action, risk, rule and ``valid_key``, null where the signature fails.
+    """
+    known = blocks.select("request_id", "action", "risk", "rule", "valid_key").join(offers.select("request_id", F.lit(True).alias("offered")), "request_id", "left")
+    rows = requests.join(known, "request_id", "left")
+    refused = (
+        F.when(F.coalesce(F.length(F.trim("human_reason")), F.lit(0)) < least_reason, "MISSING_FIELDS").when(~F.coalesce(F.col("action") == "BLOCK", F.lit(False)), "NOT_A_BLOCK")
+        .when(F.col("valid_key").isNull(), "INVALID_SIGNATURE").when(F.col("offered").isNull(), "NO_OFFER").when(F.col("rule").isin(*NEVER_OVERRIDABLE) | (F.col("risk") == "CRITICAL"), "NOT_OVERRIDABLE")
+    )
+    return rows.select("override_id", "request_id", refused.alias("refused"))

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window as W
 from lanternwatch.functions.fixed_pii import V1
 from lanternwatch.functions.regexes import quoted
 from lanternwatch.operators import audit, flow, ledger, pii, policy, sequence
-from lanternwatch.plans.common import calls, query, table
+from lanternwatch.plans.common import ORACLE_SQL, calls, query, table, texts
+from lanternwatch.sources.calls import CALLS_SQL
 
 
 def _case(key: str, values: dict, default: str = "NULL") -> str:
@@ -218,7 +219,7 @@ _HINT_SQL = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS framework, count(*) AS
 
 @query("r11_regulatory_hints", "WITH t AS (SELECT DISTINCT doc_id, type FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{p.name}' AS type FROM documents WHERE {p.sql_found('text')}" for p in V1) + f")) SELECT doc_id, framework, n_types, round(confidence, 6) AS confidence FROM ({_HINT_SQL} UNION ALL SELECT doc_id, 'PCI_DSS', 1, 0.8::DOUBLE FROM t WHERE type = 'CREDIT_CARD')")
 def r11(spark, sf):
-    found = pii.scan_pii_v1(table(spark, sf, "documents"), ["doc_id"]).withColumn("confidence", F.lit(0.8))
+    found = pii.scan_pii_v1(texts(spark, sf, "documents"), ["doc_id"]).withColumn("confidence", F.lit(0.8))
     return policy.regulatory_hints(found, ["doc_id"]).withColumn("confidence", F.round("confidence", 6))
 
 
@@ -302,9 +303,77 @@ def a8(spark, sf):
     return audit.evaluate_labels(_decided(spark, sf), truth, "request_id").withColumn("rate", F.round("rate", 6))
 
 
+_KEY = b"lantern-demo-key"
+_SIGNED = ("request_id", "action", "risk", "rule")
+
+
+@query("r11_call_hints")
+def r11_calls(spark, sf):
+    """Frameworks of calls whose arguments name recipients: by tool and by mail domain, and by the addresses found."""
+    c = calls(spark, sf)
+    found = pii.scan_pii_v1(c, ["request_id"], "arg_to").withColumn("confidence", F.lit(0.95)).select("request_id", "type", "confidence")
+    hints = policy.call_hints(c.select("request_id", "tool_name", F.col("arg_to").alias("args")), found)
+    return hints.select("request_id", "framework", "n_types", F.round("confidence", 6).alias("confidence"))
+
+
+_TO_TYPES = "SELECT DISTINCT request_id, type FROM (" + " UNION ALL ".join(f"SELECT request_id, '{p.name}' AS type FROM calls WHERE {p.sql_found('arg_to')}" for p in V1) + ")"
+_TO_HINTS = " UNION ALL ".join(f"SELECT request_id, '{n}' AS framework, count(*) AS n_types, least(1.0::DOUBLE, {base}::DOUBLE + {step}::DOUBLE * count(*)) AS confidence FROM t WHERE type IN ({', '.join(repr(x) for x in types)}) GROUP BY 1" for n, (types, base, step) in policy.FRAMEWORKS.items())
+ORACLE_SQL["r11_call_hints"] = f"""WITH calls AS ({CALLS_SQL}), t AS ({_TO_TYPES}), h AS ({_TO_HINTS}),
+g AS (SELECT request_id, 'SOX' AS framework, 0 AS n_types, 0.55::DOUBLE AS confidence FROM calls WHERE regexp_matches(tool_name, 'payment|payout|invoice|ledger')
+      UNION ALL SELECT request_id, 'GDPR', 0, 0.4::DOUBLE FROM calls WHERE regexp_matches(lower(arg_to), '@[a-z0-9.-]+\\.({'|'.join(policy.EU_DOMAINS)})([^a-z]|$)') AND request_id NOT IN (SELECT request_id FROM h WHERE framework = 'GDPR'))
+SELECT request_id, framework, n_types, round(confidence, 6) AS confidence FROM h UNION ALL SELECT * FROM g"""
+
+
+@query("r12_safe_alternative", f", {DECIDED_SQL} SELECT request_id, rule, {_case('rule', policy.SAFE_ALTERNATIVES, 'CASE WHEN rule = ' + quoted('rbac') + " THEN 'ask an operator to run ' || tool_name END")} AS safe_alternative FROM decided", calls_sql=True)
+def r12(spark, sf):
+    d = _decided(spark, sf)
+    advice = calls(spark, sf).select("tool_name").distinct().withColumn("safe_rewrite", F.concat(F.lit("ask an operator to run "), "tool_name"))
+    rows = policy.safe_alternative(d, advice)
+    only = F.when(F.col("rule").isin("rbac", *policy.SAFE_ALTERNATIVES), F.col("safe_alternative"))  # advice is asked for where a role is too low
+    return rows.select("request_id", "rule", only.alias("safe_alternative"))
+
+
+_OFFERED = f"offers AS (SELECT request_id, rule, CASE WHEN starts_with(rule, 'dangerous-shell') THEN '{policy.WORST_CASES['dangerous-shell']}' WHEN starts_with(rule, 'dangerous-sql') THEN '{policy.WORST_CASES['dangerous-sql']}' ELSE {_case('rule', policy.WORST_CASES, quoted(policy.WORST_CASE))} END AS worst_case, CASE WHEN risk = 'HIGH' THEN 10 ELSE 5 END AS scrutiny_calls, CASE WHEN risk = 'HIGH' THEN 60 ELSE 45 END AS ttl_seconds FROM decided WHERE action = 'BLOCK' AND risk <> 'CRITICAL')"
+
+
+@query("r13_override_offers", f", {DECIDED_SQL}, {_OFFERED} SELECT * FROM offers", calls_sql=True)
+def r13(spark, sf):
+    return policy.override_offers(_decided(spark, sf))
+
+
+@query("r14_validate_overrides", f", {DECIDED_SQL}, {_OFFERED}, q AS (SELECT d.*, 'ov_' || d.request_id AS override_id, CASE WHEN k % 6 = 0 THEN 'ok' ELSE 'checked with the owner' END AS reason, k % 10 = 3 AS broken FROM decided d JOIN calls c USING (request_id)) SELECT override_id, request_id, CASE WHEN length(reason) < 8 THEN 'MISSING_FIELDS' WHEN action <> 'BLOCK' THEN 'NOT_A_BLOCK' WHEN broken THEN 'INVALID_SIGNATURE' WHEN request_id NOT IN (SELECT request_id FROM offers) THEN 'NO_OFFER' END AS refused FROM q", calls_sql=True)
+def r14(spark, sf):
+    """Requests to override every decision; some without a real reason, some on decisions that were changed after signing."""
+    signed = ledger.sign_decisions(_decided(spark, sf), _KEY, _SIGNED)
+    keyed = signed.join(calls(spark, sf).select("request_id", "k"), "request_id")
+    changed = keyed.withColumn("signature", F.when(F.col("k") % 10 == 3, F.lit("0")).otherwise(F.col("signature")))
+    blocks = ledger.verify_ledger(changed, [_KEY], _SIGNED)
+    requests = keyed.select(F.concat(F.lit("ov_"), "request_id").alias("override_id"), "request_id", F.when(F.col("k") % 6 == 0, "ok").otherwise("checked with the owner").alias("human_reason"))
+    return policy.validate_overrides(requests, blocks, policy.override_offers(blocks))
+
+
+@query("j6_scrutiny_windows", """, t AS (SELECT *, epoch_us(ts) AS us FROM calls),
+o AS (SELECT session_id, us FROM t WHERE event_id % 40 = 0),
+-- without overlapping windows a decision is under scrutiny if it is one of the 3 after the last override, in time
+x AS (SELECT request_id, t.session_id, t.us, max(o.us) AS opened FROM t LEFT JOIN o ON o.session_id = t.session_id AND o.us <= t.us GROUP BY ALL),
+y AS (SELECT *, row_number() OVER (PARTITION BY session_id, opened ORDER BY us, request_id) AS n FROM x)
+SELECT request_id, opened IS NOT NULL AND n <= 3 AND us < opened + 86400000000 AS under_scrutiny FROM y""", calls_sql=True)
+def j6(spark, sf):
+    c = calls(spark, sf)
+    overrides = c.where("event_id % 40 = 0").select("tenant_id", "session_id", "ts", F.lit(3).alias("scrutiny_calls"))
+    return flow.scrutiny_windows(overrides, c, 86400).select("request_id", "under_scrutiny")
+
+
+@query("p10_redact_for_persistence", "SELECT request_id, '{\"to\":[\"' || CASE event_id % 3 WHEN 0 THEN 'ann@example.org' ELSE tool_name END || '\"],\"in\":{\"n\":' || event_id || '}}' AS given, replace(given, 'ann@example.org', '[REDACTED-EMAIL]') AS redacted FROM calls", calls_sql=True)
+def p10(spark, sf):
+    value = F.when(F.col("event_id") % 3 == 0, "ann@example.org").otherwise(F.col("tool_name"))
+    given = F.to_json(F.struct(F.array(value).alias("to"), F.struct(F.col("event_id").alias("n")).alias("in")))
+    return calls(spark, sf).select("request_id", given.alias("given")).withColumn("redacted", pii.redact_for_persistence("given"))
+
+
 @query("a9_tag_frequency", "WITH t AS (SELECT DISTINCT doc_id, type FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{p.name}' AS type FROM documents WHERE {p.sql_found('text')}" for p in V1) + f")) SELECT framework AS tag, count(*) AS n FROM ({_HINT_SQL} UNION ALL SELECT doc_id, 'PCI_DSS', 1, 0.8::DOUBLE FROM t WHERE type = 'CREDIT_CARD') GROUP BY 1")
 def a9(spark, sf):
-    return audit.tag_frequency(policy.regulatory_hints(pii.scan_pii_v1(table(spark, sf, "documents"), ["doc_id"]).withColumn("confidence", F.lit(0.8)), ["doc_id"]))
+    return audit.tag_frequency(policy.regulatory_hints(pii.scan_pii_v1(texts(spark, sf, "documents"), ["doc_id"]).withColumn("confidence", F.lit(0.8)), ["doc_id"]))
 
 
 @query("j5_apply_pauses", f", {DECIDED_SQL}, p AS (SELECT 'p_' || event_id AS pause_id, CASE event_id % 3 WHEN 0 THEN 'session' WHEN 1 THEN 'user' ELSE 'tenant' END AS scope, CASE event_id % 3 WHEN 2 THEN tenant_id ELSE user_id END AS scope_key, ts AS start_ts, ts + INTERVAL 12 HOUR AS end_ts FROM calls WHERE event_id % 100 = 0), keyed AS (SELECT d.*, s.scope, s.r, CASE s.scope WHEN 'session' THEN session_id WHEN 'user' THEN user_id ELSE tenant_id END AS scope_key FROM decided d, (VALUES ('session', 0), ('user', 1), ('tenant', 2)) s(scope, r) WHERE action = 'BLOCK' AND rule NOT IN ({', '.join(repr(x) for x in flow.NEVER_PAUSED)}) AND risk <> 'CRITICAL'), best AS (SELECT k.request_id, arg_min(p.pause_id, (k.r, -epoch_us(p.start_ts), p.pause_id)) AS pause_id FROM keyed k JOIN p ON p.scope = k.scope AND p.scope_key = k.scope_key AND k.ts >= p.start_ts AND k.ts < p.end_ts GROUP BY 1) SELECT d.request_id, d.action AS original_action, CASE WHEN b.pause_id IS NOT NULL THEN 'ALLOW' ELSE d.action END AS action, b.pause_id FROM decided d LEFT JOIN best b USING (request_id)", calls_sql=True)
@@ -323,10 +392,6 @@ def j10(spark, sf):
     return d.join(approvals, "request_id", "left").select("request_id", "approval_id")
 
 
-_KEY = b"lantern-demo-key"
-_SIGNED = ("request_id", "action", "risk", "rule")
-
-
 @query("l1_sign_decisions")
 def l1(spark, sf):
     return ledger.sign_decisions(_decided_all(spark, sf), _KEY, _SIGNED).select("request_id", "signature")
