@@ -3,9 +3,11 @@
 Of all suffixes of the corpus only those are indexed that start at an anchor:
 the 16-byte string of least hash in some 50-byte window. Equal windows have
 equal anchors at equal places, so no shared window is missed, and one suffix in
-18 is kept. Suffixes are dealt by the hash of their leading 16 bytes, sorted by
-it and by a hash of the 84 bytes that any window around the anchor can touch,
-and neighbours are compared:
+18 is kept. Splitters drawn from a sample of suffixes range-partition them by
+their leading 8 bytes; a bucket is sorted by the leading 16 bytes and a hash of
+the 84 bytes that any window around the anchor can touch, and neighbours are
+compared. Suffixes with equal leading bytes are in one bucket, so that nothing
+is left to compare across the boundaries of buckets:
 
 * Suffixes with equal 84 bytes: every document but the one of the least id
   loses all windows around the anchor. Each map task does this for its own
@@ -16,7 +18,8 @@ and neighbours are compared:
   one.
 
 The text is shuffled once, by document groups, for the second step and for the
-cutting. Equality is decided by hashes of 106 bits and more.
+cutting. Leading bytes are compared as they are, the bytes around them by a hash
+of 48 bits more.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ SIDE = 17  # one of the sides of an anchor has at least so many bytes of a windo
 #: Bytes of text a task hashes at once, which bounds its memory; longer texts go in overlapping pieces.
 PIECE = 1 << 21
 DOCS_PER_GROUP = 1024
+#: Documents drawn for the splitters, about, and suffixes taken of each, evenly over the text.
+SPLIT_DOCS, SPLIT_SUFFIXES = 2000, 32
 
 _rng = np.random.default_rng(77)
 _BYTE = _rng.integers(1, 2**63, 257, dtype=np.uint64) | np.uint64(1)
@@ -88,13 +93,13 @@ def by_group(groups: np.ndarray, *columns: tuple[np.ndarray, int]) -> Iterator[t
         yield int(v), pack(*[(c[at], w) for c, w in columns])
 
 
-RECORD = (6, 6, 8, 2, 4)  # gram, context, document, tag, place
+RECORD = (8, 8, 6, 8, 2, 4)  # leading bytes, the next ones, context, document, tag, place
 REQUEST = (8, 2, 4)  # document, tag, place
 FLAG = (8, 2, 4, 1)  # document, tag, start, length
 
 
-def anchors(pieces: list[tuple[np.ndarray, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of pieces (bytes, first and last place an anchor may have): piece number, place, hash of 16 and of 84 bytes."""
+def anchors(pieces: list[tuple[np.ndarray, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pieces (bytes, first and last place an anchor may have): piece number, place, the first and second 8 bytes, and a hash of 84 bytes."""
     starts = np.cumsum([LENGTH] + [len(p) + LENGTH for p, _, _ in pieces])
     values = np.full(int(starts[-1]) + SPAN, 256, np.uint16)
     room, wanted = np.zeros(len(values), np.int64), np.zeros(len(values), bool)
@@ -124,7 +129,11 @@ def anchors(pieces: list[tuple[np.ndarray, int, int]]) -> tuple[np.ndarray, np.n
     c = q - LEFT
     context = _mix(kept[64][c] * _POWER[20] + kept[16][c + 64] * _POWER[4] + kept[4][c + 80])
     piece = np.searchsorted(starts, q, "right") - 1
-    return piece, q - starts[piece], order[q], context
+    lead, tail = np.zeros(len(q), np.uint64), np.zeros(len(q), np.uint64)
+    for i in range(8):
+        lead = (lead << np.uint64(8)) | values[q + i].astype(np.uint64)
+        tail = (tail << np.uint64(8)) | values[q + 8 + i].astype(np.uint64)
+    return piece, q - starts[piece], lead, tail, context
 
 
 def _pieces(raws: list[bytes]) -> Iterator[list[tuple[int, int, np.ndarray, int, int]]]:
@@ -155,7 +164,27 @@ def _clip(place: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, np.minimum(place + LENGTH, length) - start
 
 
-def _index(buckets: int, groups: int):
+def _leads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Leading bytes of a few suffixes of each text, as signed numbers."""
+    for pdf in batches:
+        found = [np.empty(0, np.uint64)]
+        for batch in _pieces([_raw(t) for t in pdf["text"]]):
+            piece, _, lead, _, _ = anchors([(b[2], b[3], b[4]) for b in batch])
+            for k in range(len(batch)):
+                own = lead[piece == k]
+                found.append(own[:: max(1, -(-len(own) // SPLIT_SUFFIXES))])
+        yield pd.DataFrame({"lead": np.concatenate(found).view(np.int64)})
+
+
+def splitters(rows: DataFrame, n: int, buckets: int) -> np.ndarray:
+    """``buckets - 1`` leading bytes that cut a bounded sample of suffixes into even parts. Only the sample reaches the driver."""
+    drawn = rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < F.lit(float(SPLIT_DOCS << 30) / max(1, n))).select("text")
+    leads = drawn.mapInPandas(_leads, "lead long").limit(4 * SPLIT_DOCS * SPLIT_SUFFIXES).toPandas()["lead"].to_numpy(np.int64)
+    leads = np.sort(leads.view(np.uint64))
+    return np.unique(leads[np.arange(1, buckets) * len(leads) // buckets]) if len(leads) else leads
+
+
+def _index(cuts: np.ndarray, buckets: int, groups: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, raws = pdf["id"].to_numpy(), [_raw(t) for t in pdf["text"]]
@@ -163,12 +192,12 @@ def _index(buckets: int, groups: int):
             tags = np.array([zlib.crc32(r) & 0xFFFF for r in raws], np.uint64)
             for batch in _pieces(raws):
                 owner, base = np.array([b[0] for b in batch]), np.array([b[1] for b in batch])
-                piece, place, gram, context = anchors([(b[2], b[3], b[4]) for b in batch])
+                piece, place, lead, tail, context = anchors([(b[2], b[3], b[4]) for b in batch])
                 doc, place = owner[piece], place + base[piece]
                 did = ids[doc]
-                order = np.lexsort((place, did, context, gram))
-                doc, place, gram, context, did = doc[order], place[order], gram[order], context[order], did[order]
-                fresh = np.append(True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])) if len(gram) else np.empty(0, bool)
+                order = np.lexsort((place, did, context, tail, lead))
+                doc, place, lead, tail, context, did = doc[order], place[order], lead[order], tail[order], context[order], did[order]
+                fresh = np.append(True, (lead[1:] != lead[:-1]) | (tail[1:] != tail[:-1]) | (context[1:] != context[:-1])) if len(lead) else np.empty(0, bool)
                 least = did[np.maximum.accumulate(np.where(fresh, np.arange(len(did)), 0))] if len(did) else did
                 later = did > least
                 rows = []
@@ -176,7 +205,7 @@ def _index(buckets: int, groups: int):
                 for g, blob in by_group(did[later] % groups, (did[later], 8), (tags[doc[later]], 2), (start, 4), (size, 1)):
                     rows.append((g % buckets, g, blob))
                 keep = ~later
-                for b, blob in by_group((gram[keep] & np.uint64(buckets - 1)).astype(np.int64), (gram[keep] >> np.uint64(16), 6), (context[keep] >> np.uint64(16), 6), (did[keep], 8), (tags[doc[keep]], 2), (place[keep], 4)):
+                for b, blob in by_group(np.searchsorted(cuts, lead[keep], "right"), (lead[keep], 8), (tail[keep], 8), (context[keep] >> np.uint64(16), 6), (did[keep], 8), (tags[doc[keep]], 2), (place[keep], 4)):
                     rows.append((b, -1, blob))
                 yield pd.DataFrame(rows, columns=["bucket", "g", "blob"])
 
@@ -186,13 +215,13 @@ def _index(buckets: int, groups: int):
 def _compare(buckets: int, groups: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         passed = pdf[pdf["g"] >= 0]
-        gram, context, did, tag, place = unpack_all(pdf.loc[pdf["g"] < 0, "blob"], RECORD)
+        lead, tail, context, did, tag, place = unpack_all(pdf.loc[pdf["g"] < 0, "blob"], RECORD)
         did, place = did.view(np.int64), place.astype(np.int64)
         rows = [(g, False, b) for g, b in zip(passed["g"], passed["blob"], strict=True)]
-        if len(gram):
-            order = np.lexsort((did, context, gram))
-            gram, context, did, tag, place = gram[order], context[order], did[order], tag[order], place[order]
-            new_gram = np.append(True, gram[1:] != gram[:-1])
+        if len(lead):
+            order = np.lexsort((did, context, tail, lead))  # by the leading bytes, then by what follows
+            lead, tail, context, did, tag, place = lead[order], tail[order], context[order], did[order], tag[order], place[order]
+            new_gram = np.append(True, (lead[1:] != lead[:-1]) | (tail[1:] != tail[:-1]))
             new = new_gram | np.append(True, context[1:] != context[:-1])
             least = did[np.maximum.accumulate(np.where(new, np.arange(len(did)), 0))]
             later = did > least
@@ -313,18 +342,21 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     Null texts are empty; texts under 50 bytes never lose anything. A null id
     is not compared. Rows that repeat an id are not smaller than each other,
     and are told apart by their texts. What is left may not be valid UTF-8
-    where a cut falls inside a character, hence ``binary``.
+    where a cut falls inside a character, hence ``binary``. An empty table
+    gives an empty result; other columns are not looked at.
     """
     n = docs.count()
     # few enough that a packed run holds hundreds of rows, many enough that a task's share stays small
-    buckets, routes = 1 << min(13, max(8, (n // 4000).bit_length())), 1 << min(13, max(5, (n // 8000).bit_length()))
+    buckets, routes = 1 << max(8, (n // 4000).bit_length()), 1 << max(5, (n // 8000).bit_length())
     groups = max(61, n // DOCS_PER_GROUP) | 1
     no_id = F.col("doc_id").isNull()
     rows = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), no_id.alias("no_id"), "text")
-    dealt = rows.where("not no_id").select("id", "text").mapInPandas(_index(buckets, groups), "bucket int, g long, blob binary")
+    known = rows.where("not no_id").select("id", "text")
+    dealt = known.mapInPandas(_index(splitters(known, n, buckets), buckets, groups), "bucket int, g long, blob binary")
     compared = materialize(dealt.groupBy("bucket").applyInPandas(_compare(buckets, groups), "g long, request boolean, blob binary"), "suffixes")
     # the same exchange of the texts serves both joins below
-    placed = rows.withColumn("g", F.pmod("id", F.lit(groups))).groupBy("g")
+    # texts without an id are not compared with any, and are dealt by their hash
+    placed = rows.withColumn("g", F.pmod(F.when(F.col("no_id"), F.xxhash64("text")).otherwise(F.col("id")), F.lit(groups))).groupBy("g")
     asked = compared.where("request").select("g", "blob").groupBy("g")
     fetched = placed.cogroup(asked).applyInPandas(_fetch(routes), "bucket int, side int, blob binary, spans binary")
     more = fetched.groupBy("bucket").applyInPandas(_windows(groups), "g long, blob binary")
