@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -98,11 +99,13 @@ def spaced(text: Column) -> Column:
 def all_stages(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """Findings of every stage: ``keys, stage, pattern, risk``."""
     rows = df.where(F.col(text).isNotNull()).select(*keys, text, canonical(F.col(text)).alias("_plain"))
-    return rows.select(*keys, F.explode(every_stage(F.col(text), F.col("_plain"))).alias("f")).select(*keys, "f.*")
+    return rows.select(*keys, F.explode(every_stage(text, "_plain")).alias("f")).select(*keys, "f.*")
 
 
-def every_stage(text: Column, plain: Column) -> Column:
-    """Array of the findings of every stage; ``plain``: the text in ``canonical`` form."""
+@lru_cache(maxsize=32)
+def every_stage(text_column: str, plain_column: str) -> Column:
+    """Array of the findings of every stage; ``plain_column``: the text in ``canonical`` form. The expression is kept, it takes long to put together."""
+    text, plain = F.col(text_column), F.col(plain_column)
     found = F.concat(standard(text), structural(text), unicode_tricks(text, plain), encoded(text), spaced(text), matches(text, MULTILINGUAL, "multilingual"), matches(text, EXTENDED))
     return F.array_distinct(found)
 

@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Sequence
 from dataclasses import replace
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -81,6 +82,12 @@ def _layer(layer: Layer, text: str) -> Column:
 
 def findings(text: str, layers: Sequence[Layer] = V2) -> Column:
     """Array of scored findings of all layers. A layer's work starts only where its pattern occurs."""
+    return _findings(text, tuple(layers))
+
+
+@lru_cache(maxsize=32)
+def _findings(text: str, layers: tuple[Layer, ...]) -> Column:
+    """The expression depends on names alone and takes seconds to put together, so it is kept."""
     empty = "array<struct<type:string,sample:string,start:int,end:int,confidence:double,validators:array<string>,hint:string>>"
 
     ascii_only, col = F.octet_length(text) == F.char_length(text), F.col(text)

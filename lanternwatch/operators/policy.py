@@ -255,9 +255,13 @@ def decide(calls: DataFrame, threshold: str = "HIGH", stages: Sequence[str] = ST
     # exploding an array of one keeps later filters from copying the expressions below them
     once = lambda df, column, name: df.select("*", F.explode(F.array(column)).alias(name))
     calls = calls.withColumn("_plain", injection.canonical(body))
-    calls = once(calls, F.struct(said.alias("said"), F.when(F.length(body) > 0, injection.every_stage(body, F.col("_plain"))).otherwise(F.array().cast(injection.FINDING)).alias("injected"), injection.offensive(body).alias("offensive")), "_found")
-    hard = F.filter("_found.said", lambda o: o["action"] == "BLOCK")
-    soft = F.filter("_found.said", lambda o: o["action"] != "BLOCK")
+    # one operator each, so that none grows beyond what is compiled
+    calls = once(calls, said, "_said")
+    if "pii" in stages:
+        calls = once(calls, pii.holds_pii(text), "_pii")
+    calls = once(calls, F.struct(F.when(F.length(body) > 0, injection.every_stage(text, "_plain")).otherwise(F.array().cast(injection.FINDING)).alias("injected"), injection.offensive(body).alias("offensive")), "_found")
+    hard = F.filter("_said", lambda o: o["action"] == "BLOCK")
+    soft = F.filter("_said", lambda o: o["action"] != "BLOCK")
     level = risk_level(tool)
     dynamic = lambda action, risk, reason, rule: F.struct(F.lit(action).alias("action"), risk.alias("risk"), F.lit(reason).alias("reason"), F.lit(rule).alias("rule"))
     result = {
@@ -267,7 +271,7 @@ def decide(calls: DataFrame, threshold: str = "HIGH", stages: Sequence[str] = ST
         "taint": F.when(F.col("_taint") & sensitive_sink(tool), outcome("REQUIRES_APPROVAL", "HIGH", "untrusted data in a sensitive sink", "taint-flow")),
         "chain": F.when(F.col("_chain"), F.struct(F.lit("REQUIRES_APPROVAL").alias("action"), F.lit("HIGH").alias("risk"), F.col("_chain_chain_id").alias("reason"), F.lit("attack-chain").alias("rule"))),
         "soft_rule": F.get(soft, 0),
-        "pii": F.when(pii.holds_pii(text), dynamic("REDACT", level, "personal data", "pii-redact")),
+        "pii": F.when(F.col("_pii") if "pii" in stages else F.lit(False), dynamic("REDACT", level, "personal data", "pii-redact")),
         "anomaly": F.when(F.col("_anomaly_score") >= anomaly_score, dynamic("REQUIRES_APPROVAL", level, "anomaly", "anomaly")),
         "rbac": F.when(~may_execute(F.col("role"), tool), dynamic("BLOCK", level, "role", "rbac")),
         "threshold": F.when(requires_approval(tool, threshold), dynamic("REQUIRES_APPROVAL", level, "risk threshold", "risk-threshold")),
