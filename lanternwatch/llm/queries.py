@@ -107,6 +107,20 @@ SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::
 FROM documents LEFT JOIN kept USING (doc_id)
 """
 
+OP7_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
+hit AS (SELECT DISTINCT w.doc_id, i FROM w JOIN f USING (s) WHERE w.doc_id > least),
+marked AS (SELECT doc_id, i, (i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -100) + 50)::INT AS fresh FROM hit),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked) GROUP BY doc_id, g),
+counts AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, max(b) AS upto FROM runs GROUP BY 1),
+gaps AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS s, a AS e FROM runs UNION ALL SELECT doc_id, upto, 1000000000 FROM counts),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * s + 1, 2 * (e - s)), '' ORDER BY s) AS k FROM gaps JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
                   ('0x' || substr(md5(doc_id::VARCHAR || ':' || md5(coalesce(text, '')) || ':17'), 1, 15))::BIGINT AS h FROM documents),
@@ -151,4 +165,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op2_minhash": OP2_SQL, "op5_line_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op10_embedding_dedup": OP10_SQL}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op2_minhash": OP2_SQL, "op5_line_dedup": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op10_embedding_dedup": OP10_SQL}
