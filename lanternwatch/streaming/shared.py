@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder where it is unset, as in tests."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where all runs on this machine, as in tests."""
+    configured, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not configured and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return configured or tempfile.mkdtemp(prefix="lanternwatch-stream-")
