@@ -171,6 +171,12 @@ def redact_for_persistence(text: pd.Series) -> pd.Series:
     return text.map(clean)
 
 
+def best_finding_per_type(found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, type, sample, confidence``: the most certain finding of each type; of equals the one with the least sample."""
+    best = found.groupBy(*keys, "type").agg(F.min_by(F.struct("sample", "confidence"), F.struct((-F.col("confidence")).alias("c"), "sample")).alias("b"))
+    return best.select(*keys, "type", "b.sample", "b.confidence")
+
+
 def pii_audit(found: DataFrame, by: Sequence[str], kind: str = "type") -> DataFrame:
     """Findings and distinct values by the given columns and type."""
     value = "sample" if "sample" in found.columns else "value"

@@ -169,6 +169,11 @@ def approval_state(events: DataFrame, as_of: str) -> DataFrame:
     return last.select("approval_id", "created", state.alias("status"))
 
 
+def pending_approvals(events: DataFrame, as_of: str, limit: int = 100) -> DataFrame:
+    """Approvals that wait for a decision, newest first: ``approval_id, created``."""
+    return approval_state(events, as_of).where("status = 'PENDING'").select("approval_id", "created").orderBy(F.desc("created"), "approval_id").limit(limit)
+
+
 def token_use_audit(uses: DataFrame, issuer: str) -> DataFrame:
     """First refusal of each use of a capability token: issuer, expiry, tenant, tool, arguments, replay; null if accepted."""
     refused = (

@@ -7,7 +7,8 @@ from pyspark.sql.window import Window as W
 
 from lanternwatch.functions.regexes import Pattern
 from lanternwatch.operators import audit, flow, ledger, pii, sequence
-from lanternwatch.plans.common import calls, query, table
+from lanternwatch.plans import content
+from lanternwatch.plans.common import calls, query, table, texts
 from lanternwatch.plans.policy import AS_OF, CLASS, outputs_of_reads, spiked
 
 DAY_US = 86400 * 1_000_000
@@ -62,8 +63,9 @@ def w6(spark, sf):
     return sequence.detect_anomaly(rows).select("request_id", "kind", F.round("score", 6).alias("score"))
 
 
-def _chain_case() -> str:
-    parts = []
+def _chain_tests() -> dict[str, str]:
+    """SQL that says whether the last calls match, by chain."""
+    found = {}
     for c in sequence.CHAINS:
         k = len(c.steps)
         tests = [f"coalesce(regexp_matches({'tool_name' if k - 1 - i == 0 else f't{k - 1 - i}'}, '{s}') AND {'TRUE' if k - 1 - i == 0 else f'a{k - 1 - i}'}, FALSE)" for i, s in enumerate(c.steps)]
@@ -71,8 +73,15 @@ def _chain_case() -> str:
             tests.append(Pattern("", c.trigger, "i").sql_found("args"))
         if c.unless:
             tests.append("NOT " + Pattern("", c.unless, "i").sql_found("args"))
-        parts.append(f"WHEN {' AND '.join(tests)} THEN '{c.name}'")
-    return "CASE " + " ".join(parts) + " END"
+        found[c.name] = " AND ".join(tests)
+    return found
+
+
+def _chain_case() -> str:
+    return "CASE " + " ".join(f"WHEN {test} THEN '{name}'" for name, test in _chain_tests().items()) + " END"
+
+
+_LAGGED = f"SELECT *, lag(tool_name, 1) OVER w AS t1, lag(tool_name, 2) OVER w AS t2, epoch_us(ts) - epoch_us(lag(ts, 1) OVER w) <= {DAY_US} AS a1, epoch_us(ts) - epoch_us(lag(ts, 2) OVER w) <= {DAY_US} AS a2, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY session_id ORDER BY epoch_us(ts) RANGE BETWEEN {DAY_US} PRECEDING AND CURRENT ROW)) / 1e6 AS span FROM calls WINDOW w AS (PARTITION BY session_id ORDER BY ts, request_id)"
 
 
 @query("w7_detect_chains", f"SELECT request_id, session_id, chain_id FROM (SELECT request_id, session_id, {_chain_case()} AS chain_id FROM (SELECT *, lag(tool_name, 1) OVER w AS t1, lag(tool_name, 2) OVER w AS t2, epoch_us(ts) - epoch_us(lag(ts, 1) OVER w) <= {DAY_US} AS a1, epoch_us(ts) - epoch_us(lag(ts, 2) OVER w) <= {DAY_US} AS a2 FROM calls WINDOW w AS (PARTITION BY session_id ORDER BY ts, request_id))) WHERE chain_id IS NOT NULL", calls_sql=True)
@@ -80,7 +89,10 @@ def w7(spark, sf):
     return sequence.detect_chains(calls(spark, sf), window=86400).select("request_id", "session_id", "chain_id")
 
 
-@query("w8_chain_confidence")
+_SEVERITY = "CASE chain_id " + " ".join(f"WHEN '{c.name}' THEN {c.severity}::DOUBLE" for c in sequence.CHAINS) + " END"
+
+
+@query("w8_chain_confidence", f"SELECT request_id, chain_id, {_SEVERITY} AS severity, round(least(1.0::DOUBLE, {_SEVERITY} * least(1.0::DOUBLE, greatest(0.5::DOUBLE, 1 - (span - 60) / 86400)) * 0.85::DOUBLE), 6) AS confidence, n_chains FROM (SELECT request_id, span, {_chain_case()} AS chain_id, {' + '.join(f'({t})::INT' for t in _chain_tests().values())} AS n_chains FROM ({_LAGGED})) WHERE chain_id IS NOT NULL", calls_sql=True)
 def w8(spark, sf):
     return sequence.detect_chains(calls(spark, sf), window=86400).select("request_id", "chain_id", "severity", F.round("confidence", 6).alias("confidence"), F.size("all_chains").alias("n_chains"))
 
@@ -103,6 +115,12 @@ def w10(spark, sf):
     return sequence.approval_state(_approval_events(spark, sf), AS_OF).select("approval_id", "status")
 
 
+@query("f3_pending_approvals", f", e AS ({_EVENTS}), l AS (SELECT approval_id, arg_max(event, (ts, event)) AS event, arg_max(expires_at, (ts, event)) AS x, min(ts) AS created FROM e GROUP BY 1) SELECT approval_id, created FROM l WHERE event = 'create' AND x >= TIMESTAMP '{AS_OF}' - INTERVAL 20 DAY ORDER BY created DESC, approval_id LIMIT 100", calls_sql=True)
+def f3(spark, sf):
+    """The newest hundred that were pending twenty days before the last day."""
+    return sequence.pending_approvals(_approval_events(spark, sf), "2024-01-11 00:00:00").select("approval_id", "created")
+
+
 @query("a12_active_approvals", f", e AS ({_EVENTS}), l AS (SELECT approval_id, arg_max(event, (ts, event)) AS event, arg_max(expires_at, (ts, event)) AS x FROM e GROUP BY 1) SELECT count(*) FILTER (event = 'create' AND x >= TIMESTAMP '{AS_OF}') AS pending, count(*) AS n FROM l", calls_sql=True)
 def a12(spark, sf):
     state = sequence.approval_state(_approval_events(spark, sf), AS_OF)
@@ -171,10 +189,10 @@ def a7(spark, sf):
     return audit.latency_percentiles(calls(spark, sf), "value", ["tool_name"]).withColumn("mean", F.round("mean", 6))
 
 
-@query("a10_best_finding_per_type", "SELECT doc_id, 'EMAIL' AS type, max(length(v)) AS longest FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}\\b')) AS v FROM documents) GROUP BY 1")
+@query("a10_best_finding_per_type", f"SELECT doc_id, type, min(sample) AS sample, round(max(confidence), 6) AS confidence FROM ({content.simple_sql()}) GROUP BY 1, 2")
 def a10(spark, sf):
-    found = pii.scan_pii_v1(table(spark, sf, "documents"), ["doc_id"]).where("type = 'EMAIL'")
-    return found.groupBy("doc_id", "type").agg(F.max(F.length("value")).cast("long").alias("longest"))
+    found = pii.scan_pii(texts(spark, sf, "documents"), ["doc_id"], layers=content.SIMPLE)
+    return pii.best_finding_per_type(found, ["doc_id"]).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("k3_last_per_key", "SELECT user_id, request_id FROM calls QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, request_id DESC) <= 3", calls_sql=True)
@@ -253,10 +271,13 @@ def j9(spark, sf):
     return ledger.connector_gaps(needed, held)
 
 
-@query("t1_stream_burst", "SELECT tool_name, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, count(*) AS n FROM calls GROUP BY ALL", calls_sql=True)
+@query("t1_stream_burst", "SELECT tenant_id, agent_id, tool_name, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, count(*) AS n FROM calls GROUP BY ALL", calls_sql=True)
 def t1(spark, sf):
     """The events replayed as a stream into day windows, and read back from the sink."""
-    return _replayed(spark, sf, "complete", lambda rows: rows.groupBy(F.window("ts", "1 day"), "tool_name").agg(F.count("*").alias("n"))).select("tool_name", F.unix_micros("window.start").alias("start_us"), "n")
+    from lanternwatch.streaming import calls as streams
+
+    counted = _replayed(spark, sf, "complete", lambda rows: streams.burst_counts(rows, "1 day", "1 day"))
+    return counted.select("tenant_id", "agent_id", "tool_name", F.unix_micros("window.start").alias("start_us"), "n")
 
 
 @query("t11_stream_rules", "SELECT request_id FROM calls WHERE regexp_matches(tool_name, 'payment')", calls_sql=True)

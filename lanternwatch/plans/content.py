@@ -33,17 +33,17 @@ def p1(spark, sf):
     return pii.scan_pii_v1(texts(spark, sf, "documents"), ["doc_id"]).groupBy("doc_id", "type", "value").agg(F.count("*").alias("n"))
 
 
-_SIMPLE = [x for x in V2 if not x.check and not x.context] + [x for x in V2 if x.pattern.name in ("ETHEREUM_ADDR", "MAC_ADDR")]
+SIMPLE = [x for x in V2 if not x.check and not x.context] + [x for x in V2 if x.pattern.name in ("ETHEREUM_ADDR", "MAC_ADDR")]
 
 
-def _simple_sql() -> str:
+def simple_sql() -> str:
     base = lambda x: min(1.0, x.base + (0.3 if x.check else 0))
-    return " UNION ALL ".join(f"SELECT doc_id, '{x.pattern.name}' AS type, unnest({x.pattern.sql_all('text')}) AS sample, {base(x)}::DOUBLE AS confidence FROM documents" for x in _SIMPLE)
+    return " UNION ALL ".join(f"SELECT doc_id, '{x.pattern.name}' AS type, unnest({x.pattern.sql_all('text')}) AS sample, {base(x)}::DOUBLE AS confidence FROM documents" for x in SIMPLE)
 
 
-@query("p2_scan_pii_unconditional", f"SELECT type, count(*) AS n, count(DISTINCT sample) AS n_values, round(max(confidence), 6) AS best FROM ({_simple_sql()}) GROUP BY 1")
+@query("p2_scan_pii_unconditional", f"SELECT type, count(*) AS n, count(DISTINCT sample) AS n_values, round(max(confidence), 6) AS best FROM ({simple_sql()}) GROUP BY 1")
 def p2a(spark, sf):
-    found = pii.scan_pii(texts(spark, sf, "documents"), ["doc_id"], layers=_SIMPLE)
+    found = pii.scan_pii(texts(spark, sf, "documents"), ["doc_id"], layers=SIMPLE)
     return found.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("sample").alias("n_values"), F.round(F.max("confidence"), 6).alias("best"))
 
 

@@ -250,11 +250,6 @@ def f2(spark, sf):
     return audit.audit_search(_audit(spark, sf), "SHELL", 50, 20).select("audit_id", "action", "total")
 
 
-@query("f3_pending_approvals", AUDIT_SQL + " SELECT audit_id FROM audit WHERE action = 'APPROVAL_REQUESTED' ORDER BY ts DESC, audit_id LIMIT 100", calls_sql=True)
-def f3(spark, sf):
-    return audit.audit_filter(_audit(spark, sf), action="APPROVAL_REQUESTED", limit=100).select("audit_id")
-
-
 _COUNT = {"decisions": "POLICY_DECISION", "blocked": "TOOL_CALL_BLOCKED", "approvals_created": "APPROVAL_REQUESTED", "approvals_approved": "APPROVAL_GRANTED", "redactions": "PII_REDACTED", "injections": "INJECTION_DETECTED", "classifier_calls": "CLASSIFIER_INVOKED"}
 
 
