@@ -34,6 +34,8 @@ THRESHOLD = 0.98
 CELL = 8192
 #: Nodes of the tree with so many points or fewer are compared without descending further.
 BASE = 16
+#: Pairs of points compared at once, which bounds a task's memory.
+PAIRS = 1 << 14
 #: Members of a cell drawn to pick its net from, about; and the most centres of a net (fewer where a few cells will do).
 SAMPLE, MAX_CENTRES = 1024, 128
 #: For rounding: distances come from products of unit vectors. Only ever keeps pairs that could have been left out.
@@ -105,16 +107,16 @@ def linked_blocks(a: Tree, b: Tree, reach: float):
     while stack:
         p0, q0 = stack.pop()
         for p, q, solid in kept(p0, q0):
-            single_p, single_q = [], []
-            for i, j, all_linked in zip(p.tolist(), q.tolist(), solid.tolist(), strict=True):
-                if p0 is q0 and same and i > j:
-                    continue
-                m, n, ki, kj = a.size[i], b.size[j], a.kids[i], b.kids[j]
-                if m == 1 and n == 1:
-                    if not (same and i == j):
-                        single_p.append(a.centre[i])
-                        single_q.append(b.centre[j])
-                elif all_linked or not (len(ki) or len(kj)):
+            if p0 is q0 and same:
+                once = p <= q
+                p, q, solid = p[once], q[once], solid[once]
+            single = (a.size[p] == 1) & (b.size[q] == 1)
+            met = single & (p != q) if same else single
+            for k in range(0, int(met.sum()), PAIRS):
+                yield a.centre[p[met][k : k + PAIRS]], b.centre[q[met][k : k + PAIRS]], None
+            for i, j, all_linked in zip(p[~single].tolist(), q[~single].tolist(), solid[~single].tolist(), strict=True):
+                ki, kj = a.kids[i], b.kids[j]
+                if all_linked or not (len(ki) or len(kj)):
                     yield a.points[i], b.points[j], all_linked
                 elif same and i == j:
                     stack.append((ki, ki))
@@ -122,8 +124,6 @@ def linked_blocks(a: Tree, b: Tree, reach: float):
                     stack.append((ki, np.array([j])))
                 else:
                     stack.append((np.array([i]), kj))
-            if single_p:
-                yield np.array(single_p), np.array(single_q), None
 
 
 def valid(vector: Column, label: Column) -> Column:
@@ -275,8 +275,8 @@ def _links(threshold: float):
                 count[q + shift] += 0 if itself else total_p
                 low = _merge(low, np.append(p, q + shift), np.full(len(p) + len(q), p[0]))
                 continue
-            for k in range(0, len(p), 1024):
-                rows = p[k : k + 1024]
+            for k in range(0, len(p), 512):
+                rows = p[k : k + 512]
                 linked = (x[rows] @ y[q].T) / np.outer(nx[rows], ny[q]) >= threshold
                 if itself:
                     linked &= rows[:, None] != q
