@@ -10,6 +10,7 @@ from lanternwatch.operators import audit, flow, ledger, pii, sequence
 from lanternwatch.plans import content
 from lanternwatch.plans.common import calls, query, table, texts
 from lanternwatch.plans.policy import AS_OF, CLASS, outputs_of_reads, spiked
+from lanternwatch.sources.calls import CALLS_SQL
 
 DAY_US = 86400 * 1_000_000
 WINDOWS = {"n_1h": 3600, "n_1d": 86400, "n_7d": 7 * 86400}
@@ -38,8 +39,13 @@ def w3(spark, sf):
     return sequence.detect_first_seen(calls(spark, sf)).select("request_id", "first_seen", "first_seen_score")
 
 
-_EWMA_SQL = f"""seq AS (SELECT request_id, tenant_id, agent_id, tool_name, {_range(3600 * 1_000_000, 'tenant_id, agent_id, tool_name')}::DOUBLE AS x, row_number() OVER (PARTITION BY tenant_id, agent_id, tool_name ORDER BY ts, request_id) AS r FROM calls),
-fold AS (SELECT request_id, tenant_id, agent_id, tool_name, r, 0.2 * x AS m FROM seq WHERE r = 1 UNION ALL SELECT s.request_id, s.tenant_id, s.agent_id, s.tool_name, s.r, 0.8 * f.m + 0.2 * s.x FROM fold f JOIN seq s ON s.tenant_id = f.tenant_id AND s.agent_id = f.agent_id AND s.tool_name = f.tool_name AND s.r = f.r + 1)"""
+#: The fold of the exponential mean and variance, row by row of a key.
+_SPIKE_SQL = f"""WITH RECURSIVE calls AS ({CALLS_SQL}),
+seq AS (SELECT request_id, tenant_id, agent_id, tool_name, {_range(3600 * 1_000_000, 'tenant_id, agent_id, tool_name')} AS h, {_range(60 * 1_000_000, 'tenant_id, agent_id, tool_name')} AS n, row_number() OVER (PARTITION BY tenant_id, agent_id, tool_name ORDER BY ts, request_id) AS r FROM calls),
+fold AS (SELECT *, 0.2::DOUBLE * h AS m, 0.2::DOUBLE * h * h AS v FROM seq WHERE r = 1
+         UNION ALL SELECT s.*, 0.8::DOUBLE * f.m + 0.2::DOUBLE * s.h, 0.8::DOUBLE * f.v + 0.2::DOUBLE * (s.h - f.m) * (s.h - f.m) FROM fold f JOIN seq s ON s.tenant_id = f.tenant_id AND s.agent_id = f.agent_id AND s.tool_name = f.tool_name AND s.r = f.r + 1),
+zed AS (SELECT *, (n * 60 - m) / greatest(sqrt(v), 1.0::DOUBLE) AS z FROM fold),
+spikes AS (SELECT *, r > 10 AND v > 0 AND z >= 3 AS spike, CASE WHEN r > 10 AND v > 0 AND z >= 3 THEN least(1.0::DOUBLE, z / 10) ELSE 0.0::DOUBLE END AS spike_score, CASE WHEN {_SEVERE} THEN 5 ELSE 20 END AS t FROM zed)"""
 
 
 @query("w4_ewma", f"SELECT request_id, round(list_reduce(list_prepend(0.0::DOUBLE, list_slice(xs, 1, r)), lambda m, x: 0.8 * m + 0.2 * x), 6) AS ewma FROM (SELECT request_id, row_number() OVER w AS r, list(x) OVER (PARTITION BY tenant_id, agent_id, tool_name ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS xs FROM (SELECT *, {_range(3600 * 1_000_000, 'tenant_id, agent_id, tool_name')}::DOUBLE AS x FROM calls) WINDOW w AS (PARTITION BY tenant_id, agent_id, tool_name ORDER BY ts, request_id))", calls_sql=True)
@@ -52,12 +58,12 @@ def _spiked(spark, sf):
     return spiked(calls(spark, sf))
 
 
-@query("w5_detect_spike")
+@query("w5_detect_spike", _SPIKE_SQL + " SELECT request_id, round(z, 6) AS z, spike, round(spike_score, 6) AS spike_score FROM spikes")
 def w5(spark, sf):
     return _spiked(spark, sf).select("request_id", F.round("z", 6).alias("z"), "spike", F.round("spike_score", 6).alias("spike_score"))
 
 
-@query("w6_detect_anomaly")
+@query("w6_detect_anomaly", _SPIKE_SQL + f" SELECT request_id, CASE WHEN h >= t THEN 'burst' WHEN r = 1 AND {_SEVERE} THEN 'first_seen' WHEN spike THEN 'spike' END AS kind, round(CASE WHEN h >= t THEN least(1.0::DOUBLE, h / (2 * t)) WHEN r = 1 AND {_SEVERE} THEN 0.55::DOUBLE ELSE spike_score END, 6) AS score FROM spikes")
 def w6(spark, sf):
     rows = sequence.detect_first_seen(sequence.detect_burst(_spiked(spark, sf), "n_1h", 5, 20))
     return sequence.detect_anomaly(rows).select("request_id", "kind", F.round("score", 6).alias("score"))
@@ -161,7 +167,11 @@ def w13(spark, sf):
     return sequence.outage_intervals(calls(spark, sf).select("request_id", F.col("tool_name").alias("target"), "ts", (F.col("k") % 4 == 0).alias("success")))
 
 
-@query("w14_token_bucket_flags")
+@query("w14_token_bucket_flags", f"""WITH RECURSIVE calls AS ({CALLS_SQL}),
+seq AS (SELECT request_id, tenant_id AS key, epoch_us(ts) AS us, row_number() OVER (PARTITION BY tenant_id ORDER BY ts, request_id) AS r FROM calls),
+fold AS (SELECT *, TRUE AS allowed, 9.0::DOUBLE AS remaining FROM seq WHERE r = 1
+         UNION ALL SELECT x.request_id, x.key, x.us, x.r, level >= 1, CASE WHEN level >= 1 THEN level - 1 ELSE level END FROM (SELECT s.*, least(10.0::DOUBLE, f.remaining + (s.us - f.us) / 1e6::DOUBLE * (1::DOUBLE / 3600)) AS level FROM fold f JOIN seq s ON s.key = f.key AND s.r = f.r + 1) x)
+SELECT request_id, key, allowed, round(remaining, 6) AS remaining FROM fold""")
 def w14(spark, sf):
     return sequence.token_bucket_flags(calls(spark, sf), "tenant_id", 10.0, 1 / 3600).select("request_id", "key", "allowed", F.round("remaining", 6).alias("remaining"))
 
