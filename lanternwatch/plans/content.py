@@ -199,7 +199,12 @@ def i11(spark, sf):
     return injection.sanitize_outputs(rows, "text", "source").select("conv_id", "turn", "injection", "sanitized")
 
 
-@query("i12_scan_all")
+def _samples_sql(patterns) -> str:
+    each = [f"list_transform({p.sql_all('text')}, lambda x: '{p.name}:' || substr(x, 1, 6))" for p in patterns]
+    return "array_to_string(flatten([" + ", ".join(each) + "]), '|')"
+
+
+@query("i12_scan_all", f"SELECT doc_id, {_samples_sql(V1)} AS pii, {_samples_sql(SECRETS)} AS secrets, len({_list_sql(STANDARD, 'text')})::INT AS n_injections FROM documents")
 def i12(spark, sf):
     """Personal data, secrets and injections of a document in one pass, with samples of six characters at most."""
     docs = texts(spark, sf, "documents")
