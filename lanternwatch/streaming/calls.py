@@ -62,6 +62,61 @@ def ewma_state(calls: DataFrame, key: str = "session_id", x: str = "value", alph
     return calls.groupBy(key).applyInPandasWithState(step, "key string, request_id string, ewma double", "mean double", "append", GroupStateTimeout.NoTimeout)
 
 
+def bucket_state(requests: DataFrame, key: str, capacity: float = 60.0, per_second: float = 1.0) -> DataFrame:
+    """``key, request_id, allowed, remaining`` of a token bucket by key; level and time are carried across batches."""
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        level, at = state.get if state.exists else (capacity, -1)
+        pdf = pd.concat(list(batches)).sort_values(["us", "request_id"])
+        allowed, remaining = [], []
+        for us in pdf["us"]:
+            level = min(capacity, level + (us - at) / 1e6 * per_second) if at >= 0 else level
+            at = int(us)
+            allowed.append(level >= 1)
+            level -= 1 if level >= 1 else 0
+            remaining.append(float(level))
+        state.update((float(level), at))
+        yield pd.DataFrame({"key": [k[0]] * len(pdf), "request_id": pdf["request_id"], "allowed": allowed, "remaining": remaining})
+
+    rows = requests.select(F.col(key).alias("key"), "request_id", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, request_id string, allowed boolean, remaining double", "level double, at long", "append", GroupStateTimeout.NoTimeout)
+
+
+def scrutiny_state(events: DataFrame, ttl: int = 15 * 60) -> DataFrame:
+    """``session_id, request_id, under_scrutiny, calls_left`` of decisions, in a stream of decisions and accepted overrides.
+
+    ``scrutiny_calls`` is over 0 in the row of an override. Rows of a batch are
+    taken in time order, overrides first; what is left of a window is carried
+    across batches.
+    """
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        left, until = state.get if state.exists else (0, 0)
+        pdf = pd.concat(list(batches))
+        pdf = pdf.assign(tick=pdf["calls"] == 0).sort_values(["us", "tick", "request_id"])
+        out = []
+        for us, calls, request in zip(pdf["us"], pdf["calls"], pdf["request_id"], strict=True):
+            if left <= 0 or us >= until:
+                left, until = 0, 0
+            if calls > 0:
+                left, until = max(left, int(calls)), max(until, int(us) + ttl * 1_000_000)
+            else:
+                out.append((k[1], request, left > 0, max(0, left - 1)))
+                left = max(0, left - 1)
+        state.update((int(left), int(until)))
+        yield pd.DataFrame(out, columns=["session_id", "request_id", "under_scrutiny", "calls_left"])
+
+    rows = events.select("tenant_id", "session_id", F.coalesce("request_id", F.lit("")).alias("request_id"), F.unix_micros("ts").alias("us"), F.coalesce("scrutiny_calls", F.lit(0)).alias("calls"))
+    return rows.groupBy("tenant_id", "session_id").applyInPandasWithState(step, "session_id string, request_id string, under_scrutiny boolean, calls_left int", "left_calls int, until long", "append", GroupStateTimeout.NoTimeout)
+
+
+def apply_pauses_to(decisions: DataFrame, pauses: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Decisions of a stream under the pauses known when their batch runs; each batch is joined as ``flow.apply_pauses`` does."""
+    from lanternwatch.operators.flow import apply_pauses
+
+    replay(decisions, lambda batch, number: sink(apply_pauses(batch, pauses()), number), checkpoint)
+
+
 def replay(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Runs a stream over what is there now and waits for its end."""
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
