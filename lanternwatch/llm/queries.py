@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lanternwatch.llm import decontamination, embeddings, htmltext, langid, lines, minhash, mixing, quality, substrings, toxicity
+from lanternwatch.llm import bpe, decontamination, embeddings, htmltext, infill, langid, lines, minhash, mixing, quality, substrings, toxicity
 from lanternwatch.llm.common import table
 
 ASCII_LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -48,6 +48,16 @@ def op8_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    return infill.infill_report(table(spark, sf_dir, "documents"))
+
+
+def op12_bpe(spark, sf_dir):
+    import public_tokenizers  # the vocabulary files of the machine; their path is a parameter of the operator
+
+    return bpe.token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def _words_sql(source: str, key: str) -> str:
     return f"SELECT {key}, regexp_extract_all({ASCII_LOWER_SQL.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {source}"
 
@@ -153,6 +163,19 @@ SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, least(vec_id, coalesce(m
 FROM v LEFT JOIN n USING (vec_id) LEFT JOIN comp USING (vec_id)
 """
 
+OP11_SQL = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+d AS (SELECT doc_id, t, n, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b,
+             ('0x' || h[17:24])::BIGINT % 100 AS c, ('0x' || h[25:32])::BIGINT % 100 AS e FROM h),
+f AS (SELECT *, least(a, b) AS p, greatest(a, b) - least(a, b) AS m,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain' WHEN e < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+parts AS (SELECT *, left(t, p) AS pre, substr(t, p + 1, m) AS mid, substr(t, p + m + 1) AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN m END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_minhash": op2_minhash,
@@ -164,5 +187,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_bpe": op12_bpe,
 }
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op2_minhash": OP2_SQL, "op5_line_dedup": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op10_embedding_dedup": OP10_SQL}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op2_minhash": OP2_SQL, "op5_line_dedup": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op10_embedding_dedup": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
