@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lanternwatch.llm import bpe, decontamination, embeddings, htmltext, infill, langid, lines, minhash, mixing, quality, substrings, toxicity
+from lanternwatch.llm import bpe, conversations, decontamination, embeddings, htmltext, infill, langid, lines, minhash, mixing, quality, substrings, toxicity
 from lanternwatch.llm.common import table
 
 ASCII_LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -58,6 +58,10 @@ def op12_bpe(spark, sf_dir):
     return bpe.token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_conversation_repair(spark, sf_dir):
+    return conversations.repair_report(table(spark, sf_dir, "conversations"))
+
+
 def _words_sql(source: str, key: str) -> str:
     return f"SELECT {key}, regexp_extract_all({ASCII_LOWER_SQL.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {source}"
 
@@ -176,6 +180,43 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CA
 FROM parts
 """
 
+# A state holds its least cost (12 digits) and audit as one string, so LEAST takes the cheapest and of these the first.
+def _plus(state: str, cost: str, letter: str) -> str:
+    return f"lpad((left({state}, 12)::BIGINT + {cost})::VARCHAR, 12, '0') || {state}[13:] || '{letter}'"
+
+
+OP13_SQL = f"""
+WITH RECURSIVE tab AS (SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(b))),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+crc AS (SELECT keyed.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8)), 4294967295) % 20 AS h FROM keyed, tab),
+damaged AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM crc),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 100), sha256(text), copy) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown FROM damaged),
+seen AS (SELECT *, shown = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM placed),
+judged AS (SELECT conv_id, turn, role, text, i, blank, NOT blank AND again AS duplicate, NOT blank AND NOT again AND right(shown, 1) NOT IN ('.', '!', '?') AS truncated, pair NOT IN ('su', 'ua', 'au') AS clash FROM seen),
+conv AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+                count(*) FILTER (clash) AS illegal, list(role[1] ORDER BY i) AS kinds, list(role ORDER BY i) AS roles, list(text ORDER BY i) AS texts, list(blank OR duplicate ORDER BY i) AS gone, list(CASE WHEN truncated THEN 3 ELSE 0 END ORDER BY i) AS cut
+         FROM judged GROUP BY conv_id),
+walk AS (SELECT conv_id, 0 AS i, kinds, gone, cut, repeat('0', 12) AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3 FROM conv
+    UNION ALL
+    SELECT conv_id, i + 1, kinds, gone, cut, {_plus("s0", "4", "D")},
+           least({_plus("s1", "4", "D")}, CASE WHEN NOT g AND kind = 's' THEN {_plus("s0", "c", "K")} END),
+           least({_plus("t2", "4", "D")}, CASE WHEN NOT g THEN least({_plus("b", "c + 3", "R")}, CASE WHEN kind = 'u' THEN {_plus("b", "c", "K")} END) END),
+           least({_plus("t3", "4", "D")}, CASE WHEN NOT g THEN least({_plus("t2", "c + 3", "R")}, CASE WHEN kind = 'a' THEN {_plus("t2", "c", "K")} END) END)
+    FROM (SELECT *, least(s0, s1, t3) AS b FROM
+         (SELECT *, least(s3, {_plus("t2", "3", "I")}) AS t3, kinds[i + 1] AS kind, gone[i + 1] AS g, cut[i + 1] AS c FROM
+         (SELECT *, least(s2, {_plus("least(s0, s1, s3)", "3", "I")}) AS t2 FROM walk WHERE i < len(kinds))))),
+ended AS (SELECT conv_id, least(s0, s3, {_plus("s2", "3", "I")}, {_plus("s1", "6", "II")}) AS best FROM walk WHERE i = len(kinds)),
+letters AS (SELECT conv_id, best[13:] AS audit, left(best, 12)::BIGINT AS cost, generate_subscripts(string_split(best[13:], ''), 1) AS p, unnest(string_split(best[13:], '')) AS letter FROM ended WHERE best[13:] <> ''),
+steps AS (SELECT conv_id, p, letter, count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i, count(*) FILTER (letter <> 'D') OVER (PARTITION BY conv_id ORDER BY p) AS n FROM letters),
+turns AS (SELECT steps.*, roles, texts, max(CASE WHEN n = 1 AND letter = 'K' AND roles[i][1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY steps.conv_id) AS shift FROM steps JOIN conv ON steps.conv_id IS NOT DISTINCT FROM conv.conv_id WHERE letter <> 'D'),
+fixed AS (SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN roles[i] WHEN (n - shift) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE texts[i] END, chr(10) ORDER BY n)) AS repaired FROM turns GROUP BY conv_id)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(left(best, 12)::BIGINT, 0) AS cost, coalesce(best[13:], '') AS audit, coalesce(repaired, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN conv ON ids.conv_id IS NOT DISTINCT FROM conv.conv_id
+LEFT JOIN ended ON ids.conv_id IS NOT DISTINCT FROM ended.conv_id LEFT JOIN fixed ON ids.conv_id IS NOT DISTINCT FROM fixed.conv_id
+"""
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_minhash": op2_minhash,
@@ -189,5 +230,6 @@ QUERIES = {
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_bpe": op12_bpe,
+    "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op2_minhash": OP2_SQL, "op5_line_dedup": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op10_embedding_dedup": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op2_minhash": OP2_SQL, "op5_line_dedup": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op10_embedding_dedup": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op13_conversation_repair": OP13_SQL}
