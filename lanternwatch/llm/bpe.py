@@ -5,10 +5,10 @@ ends: a text is brought to NFC and lower case, cut into words by the file's
 pattern, and each word is a string of byte symbols whose last one carries the
 word end. A word's encoding is the only sequence of tokens in which every
 neighbouring pair is compatible, that is, merging the two by rank gives the two
-again. So no merges are replayed: an Aho-Corasick automaton over the reversed
-tokens gives the longest token at every place of the word in one pass, the
-encoder takes it if it is compatible with the token before and else the next
-shorter one, and goes back when none is left; a place from which nothing fits
+again. So no merges are replayed: an Aho-Corasick automaton of the tokens gives
+the longest one at a place of the word, the encoder takes it if it is
+compatible with the token before and else the next shorter one, and goes back
+when none is left; a place from which nothing fits
 is marked and never tried again, so the work is linear in the word. Compatible
 pairs are looked up in a table that is filled as pairs occur.
 
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
 #: Bounds of what a worker remembers: entries of a generation (two are kept), and characters of a key.
-REMEMBERED, LONGEST_KEY = 250_000, 40
+REMEMBERED, LONGEST_KEY = 100_000, 40
 END = 256  # added to the last byte of a word
 #: Lower-case pairs of Unicode 16 and 17 that Python's tables lack, as the public tokenizer library has them.
 NEW_LOWER = {
@@ -153,12 +153,10 @@ class Bpe:
         return {s: i for i, s in self.symbols.items() if i not in self.parts or self.compatible(*self.parts[i][1:], self.parts[i][0])}
 
     def _index(self, whole: dict[str, int]) -> None:
-        self.longest_at = ahocorasick.Automaton()
-        tokens = ahocorasick.Automaton()
+        self.automaton = ahocorasick.Automaton()
         for s, i in whole.items():
-            self.longest_at.add_word(s[::-1], i)
-            tokens.add_word(s, i)
-        self.longest_at.make_automaton()
+            self.automaton.add_word(s, i)
+        self.automaton.make_automaton()
         self.shorter = {}  # id: the longest token that it begins with, but itself
         for s, i in whole.items():
             self.shorter[i] = max(((len(p), j) for p, j in ((s[:k], whole.get(s[:k])) for k in range(1, len(s))) if j is not None), default=(0, -1))[1]
@@ -192,19 +190,15 @@ class Bpe:
         """Ids of one word of the split text."""
         raw = word.encode()
         symbols = raw[:-1].decode("latin-1") + chr(raw[-1] + END)
-        n, length, shorter, fits = len(symbols), self.length, self.shorter, self.fits
-        longest, last = [-1] * n, n - 1
-        for end, token in self.longest_at.iter(symbols[::-1]):
-            if longest[last - end] < 0:  # the first at each end is the longest
-                longest[last - end] = token
-        dead, found, at, token = set(), [], 0, longest[0]
+        n, length, shorter, fits, longest = len(symbols), self.length, self.shorter, self.fits, self.automaton.iter_long
+        dead, found, at, token = set(), [], 0, next(longest(symbols))[1]
         while True:
             end = at + length[token]
             if end not in dead and (not found or fits[found[-1] << 32 | token]):
                 found.append(token)
                 if end == n:
                     return found
-                at, token = end, longest[end]
+                at, token = end, next(longest(symbols, end))[1]
             elif (token := shorter[token]) < 0:
                 dead.add(at)
                 token = found.pop()
@@ -257,7 +251,8 @@ def encode_with(model: Broadcast, text: Column) -> Column:
         tables = model.value
         return pa.array([tables.encode(t.as_py()) for t in texts], pa.binary())
 
-    return encode(F.coalesce(text, F.lit("")))
+    # so marked, Spark keeps it to one place in the plan and does not encode anew for each use of the ids
+    return encode.asNondeterministic()(F.coalesce(text, F.lit("")))
 
 
 def decode_with(model: Broadcast, ids: Column) -> Column:
