@@ -39,10 +39,10 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-#: Bounds of what a worker remembers: entries of a generation (two are kept), and characters of a key.
-REMEMBERED, LONGEST_KEY = 100_000, 40
+#: Bounds of what a worker remembers: entries of a generation of chunks (two are kept; half as many words and pairs), and characters of a key.
+REMEMBERED, LONGEST_KEY = 400_000, 40
 END = 256  # added to the last byte of a word
 #: Lower-case pairs of Unicode 16 and 17 that Python's tables lack, as the public tokenizer library has them.
 NEW_LOWER = {
@@ -101,16 +101,16 @@ def splitters(pattern: str) -> tuple[regex.Pattern, regex.Pattern]:
 class Memo(dict):
     """Results of ``make`` by key, within the bounds above. What is asked for again lives on in the next generation."""
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, share: int = 1):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.share = make, {}, share
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
         if not isinstance(key, str) or len(key) <= LONGEST_KEY:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED // self.share:
                 self.old = dict(self)
                 self.clear()
             self[key] = value
@@ -140,7 +140,7 @@ class Bpe:
             whole = vocab[a + b]
             self.rank[left, right] = r
             self.parts.setdefault(whole, (r, left, right))
-        self.fits, self.words, self.chunks = Memo(self._fits), Memo(self._word), Memo(self._chunk)
+        self.fits, self.words, self.chunks = Memo(self._fits, 2), Memo(self._word, 2), Memo(self._chunk)
         self.length = {i: len(s) for i, s in self.symbols.items()}
         self._index(self._whole())
         by_id = {i: t for t, i in (vocab | self.special).items()}
@@ -212,7 +212,7 @@ class Bpe:
         """Ids of what stands between white space."""
         chunk = lowered(chunk)
         words = splitters(self.pattern)[not chunk.isascii() and max(chunk) > "\xff"].findall(chunk)
-        return self._word(chunk) if words == [chunk] else b"".join(map(self.words.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, packed. Special tokens of the file stand for themselves wherever their strings occur."""
@@ -266,6 +266,18 @@ def decode_with(model: Broadcast, ids: Column) -> Column:
     return decode(ids)
 
 
+def encode_and_decode_with(model: Broadcast, text: Column) -> Column:
+    """``ids, decoded`` in one pass: a worker decodes the ids that it has just made, so its tables are held once."""
+
+    @F.arrow_udf(StructType([StructField("ids", BinaryType()), StructField("decoded", StringType())]))
+    def both(texts: pa.Array) -> pa.Array:
+        tables = model.value
+        ids = pa.array([tables.encode(t.as_py()) for t in texts], pa.binary())
+        return pa.StructArray.from_arrays([ids, pa.array([tables.decode(p.as_py()) for p in ids], pa.string())], ["ids", "decoded"])
+
+    return both.asNondeterministic()(F.coalesce(text, F.lit("")))
+
+
 def unpack(ids: Column) -> Column:
     """Packed ids as an array of integers."""
     number = lambda i: F.conv(F.concat(*[F.hex(F.substring(ids, i * 4 + k, 1)) for k in (4, 3, 2, 1)]), 16, 10).cast("int")
@@ -273,10 +285,14 @@ def unpack(ids: Column) -> Column:
     return F.when(F.octet_length(ids) == 0, F.array().cast("array<int>")).otherwise(F.transform(at, number))
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with ``ids`` (packed) and ``n_tokens`` of their texts."""
-    encoded = docs.withColumn("ids", encode_with(load(docs.sparkSession, path), F.col("text")))
-    return encoded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+def encode_documents(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """``docs`` with ``ids`` (packed) and ``n_tokens`` of their texts, on demand with the text that these ids decode to."""
+    model = load(docs.sparkSession, path)
+    if decoded:
+        done = docs.withColumn("ids", encode_and_decode_with(model, F.col("text"))).withColumns({"decoded": F.col("ids.decoded"), "ids": F.col("ids.ids")})
+    else:
+        done = docs.withColumn("ids", encode_with(model, F.col("text")))
+    return done.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -286,6 +302,5 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
 def token_report(docs: DataFrame, path: str) -> DataFrame:
     """One row a document: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
-    encoded = encode_documents(docs.select("doc_id", "text"), path).select("doc_id", "n_tokens", "ids")
-    done = decode_documents(encoded, path)
+    done = encode_documents(docs.select("doc_id", "text"), path, decoded=True)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
