@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 #: Bounds of what a worker remembers: entries of a generation of chunks (two are kept; half as many words and pairs), and characters of a key.
-REMEMBERED, LONGEST_KEY = 400_000, 40
+REMEMBERED, LONGEST_KEY = 250_000, 40
 END = 256  # added to the last byte of a word
 #: Lower-case pairs of Unicode 16 and 17 that Python's tables lack, as the public tokenizer library has them.
 NEW_LOWER = {
@@ -237,10 +237,21 @@ class Bpe:
         return self.bytes[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)].tobytes()[:-1].decode()
 
 
+_TABLES: dict[str, Bpe] = {}
+
+
+def tables_of(content: str) -> Bpe:
+    """This worker's tables of a tokenizer file, those of one file at a time; later queries with the same file find them filled."""
+    if content not in _TABLES:
+        _TABLES.clear()
+        _TABLES[content] = Bpe(content)
+    return _TABLES[content]
+
+
 def load(spark: SparkSession, path: str) -> Broadcast:
-    """The tables of a tokenizer file of this machine or of a store that Spark reads, broadcast; their size is that of the vocabulary."""
+    """A tokenizer file of this machine, or of a store that Spark reads, broadcast as it is; a few MB, the size of its vocabulary."""
     content = spark.read.text(path, wholetext=True).first()[0] if "://" in path else Path(path).read_text(encoding="utf-8")
-    return spark.sparkContext.broadcast(Bpe(content))
+    return spark.sparkContext.broadcast(content)
 
 
 def encode_with(model: Broadcast, text: Column) -> Column:
@@ -248,7 +259,7 @@ def encode_with(model: Broadcast, text: Column) -> Column:
 
     @F.arrow_udf(BinaryType())
     def encode(texts: pa.Array) -> pa.Array:
-        tables = model.value
+        tables = tables_of(model.value)
         return pa.array([tables.encode(t.as_py()) for t in texts], pa.binary())
 
     # so marked, Spark keeps it to one place in the plan and does not encode anew for each use of the ids
@@ -260,7 +271,7 @@ def decode_with(model: Broadcast, ids: Column) -> Column:
 
     @F.arrow_udf(StringType())
     def decode(packed: pa.Array) -> pa.Array:
-        tables = model.value
+        tables = tables_of(model.value)
         return pa.array([None if p is None else tables.decode(p) for p in packed.to_pylist()], pa.string())
 
     return decode(ids)
@@ -271,7 +282,7 @@ def encode_and_decode_with(model: Broadcast, text: Column) -> Column:
 
     @F.arrow_udf(StructType([StructField("ids", BinaryType()), StructField("decoded", StringType())]))
     def both(texts: pa.Array) -> pa.Array:
-        tables = model.value
+        tables = tables_of(model.value)
         ids = pa.array([tables.encode(t.as_py()) for t in texts], pa.binary())
         return pa.StructArray.from_arrays([ids, pa.array([tables.decode(p.as_py()) for p in ids], pa.string())], ["ids", "decoded"])
 
