@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lanternwatch.functions.regexes import Pattern
+from lanternwatch.operators.folds import Cache, Circuit, fold_table
 from lanternwatch.operators.policy import risk_class
 
 KEY = ("tenant_id", "agent_id", "tool_name")
@@ -131,22 +132,45 @@ def chain_matches(c: Chain, args: Column) -> Column:
     return hit
 
 
-def detect_chains(calls: DataFrame, chains: Sequence[Chain] = tuple(CHAINS), window: int = 5 * MINUTE) -> DataFrame:
+def chain_masks(args: str = "args", chains: Sequence[Chain] = tuple(CHAINS)) -> dict[str, Column]:
+    """What ``folds.Steps`` reads of a call: chains whose last step it is (trigger included), whose step one back, whose step two back."""
+    bits = lambda test: sum((F.when(c, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in test), F.lit(0).cast("long"))
+    tool = F.col("tool_name")
+
+    def last(c: Chain) -> Column:
+        hit = tool.rlike(c.steps[-1])
+        hit = hit & Pattern("", c.trigger, "i").found(F.col(args)) if c.trigger else hit
+        return hit & ~Pattern("", c.unless, "i").found(F.col(args)) if c.unless else hit
+
+    return {
+        "now": bits((i, last(c)) for i, c in enumerate(chains)),
+        "one": bits((i, tool.rlike(c.steps[-2])) for i, c in enumerate(chains)),
+        "two": bits((i, tool.rlike(c.steps[-3])) for i, c in enumerate(chains) if len(c.steps) > 2),
+    }
+
+
+def detect_chains(calls: DataFrame, chains: Sequence[Chain] = tuple(CHAINS), window: int = 5 * MINUTE, keep: int = 50, flows: DataFrame | None = None) -> DataFrame:
     """``request_id, session_id, chain_id, severity, all_chains, confidence`` of the calls that complete a chain.
 
     Confidence: severity times a decay of the time since the oldest call in the
-    window (0.5 at least, 1 up to a minute), times 0.85 as no data flow is known.
+    window (of the last ``keep``; 0.5 at least, 1 up to a minute), times 0.85
+    for calls that are not in ``flows`` (``request_id`` of ``flow.dataflow_join``).
     """
     order = W.partitionBy("session_id").orderBy("ts", "request_id")
     longest = max(len(c.steps) for c in chains)
     back = {f"_tool{i}": (F.lag("tool_name", i).over(order) if i else F.col("tool_name")) for i in range(longest)}
     age = {f"_recent{i}": (F.unix_micros("ts") - F.unix_micros(F.lag("ts", i).over(order)) <= window * 1_000_000) if i else F.lit(True) for i in range(longest)}
-    oldest = F.min(F.unix_micros("ts")).over(W.partitionBy("session_id").orderBy(F.unix_micros("ts")).rangeBetween(-window * 1_000_000, 0))
+    inside = F.min(F.unix_micros("ts")).over(W.partitionBy("session_id").orderBy(F.unix_micros("ts")).rangeBetween(-window * 1_000_000, 0))
+    oldest = F.greatest(inside, F.unix_micros(F.lag("ts", keep - 1).over(order)))
     rows = calls.withColumns({**back, **age, "_span": (F.unix_micros("ts") - oldest) / 1e6})
     hits = F.array_compact(F.array(*[F.when(chain_matches(c, F.col("args")), F.struct(F.lit(c.name).alias("id"), F.lit(c.severity).alias("severity"))) for c in chains]))
     decay = F.least(F.lit(1.0), F.greatest(F.lit(0.5), 1 - (F.col("_span") - 60) / window))
     found = rows.select("request_id", "session_id", hits.alias("h"), decay.alias("d")).where(F.size("h") > 0)
-    return found.select("request_id", "session_id", F.get("h", 0)["id"].alias("chain_id"), F.get("h", 0)["severity"].alias("severity"), F.col("h.id").alias("all_chains"), F.least(F.lit(1.0), F.get("h", 0)["severity"] * F.col("d") * 0.85).alias("confidence"))
+    weight = F.lit(0.85)
+    if flows is not None:
+        found = found.join(flows.select("request_id", F.lit(True).alias("_flow")).distinct(), "request_id", "left")
+        weight = F.when(F.col("_flow"), 1.0).otherwise(0.85)
+    return found.select("request_id", "session_id", F.get("h", 0)["id"].alias("chain_id"), F.get("h", 0)["severity"].alias("severity"), F.col("h.id").alias("all_chains"), F.least(F.lit(1.0), F.get("h", 0)["severity"] * F.col("d") * weight).alias("confidence"))
 
 
 def session_history(calls: DataFrame, window: int = 5 * MINUTE, keep: int = 50) -> DataFrame:
@@ -156,10 +180,15 @@ def session_history(calls: DataFrame, window: int = 5 * MINUTE, keep: int = 50)
     return ranked.where((F.col("_r") <= keep) & (F.col("_last") - F.unix_micros("ts") <= window * 1_000_000)).drop("_last", "_r")
 
 
-def activity_snapshot(calls: DataFrame, as_of: str, key: Sequence[str] = KEY) -> DataFrame:
+def activity_snapshot(calls: DataFrame, as_of: str, key: Sequence[str] = KEY, smoothed: DataFrame | None = None) -> DataFrame:
+    """Calls by key: ``total, last_1m, last_1h, last_1d``, and with ``smoothed`` (of ``ewma``) ``ewma_1h``, its value after the last call."""
     age = F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("ts")
     inside = lambda s: F.count_if((age >= 0) & (age <= s * 1_000_000))
-    return calls.groupBy(*key).agg(F.count("*").alias("total"), inside(HOUR).alias("last_1h"), inside(DAY).alias("last_1d"))
+    sums = [F.count("*").alias("total"), *[inside(s).alias(n) for n, s in (("last_1m", MINUTE), ("last_1h", HOUR), ("last_1d", DAY))]]
+    if smoothed is not None:
+        calls = calls.join(smoothed, "request_id")
+        sums.append(F.max_by("ewma", F.struct("ts", "request_id")).alias("ewma_1h"))
+    return calls.groupBy(*key).agg(*sums)
 
 
 def approval_state(events: DataFrame, as_of: str) -> DataFrame:
@@ -217,7 +246,16 @@ def token_bucket_flags(requests: DataFrame, key: str, capacity: float = 60.0, pe
     return rows.repartition("key").sortWithinPartitions("key", "us", "request_id").mapInPandas(_bucket(capacity, per_second), "request_id string, key string, allowed boolean, remaining double")
 
 
+def outage_states(outcomes: DataFrame, failures: int = 5, cooldown: int = 30) -> DataFrame:
+    """``target, request_id, allowed, state, after, failures`` of each call under a circuit breaker by target.
+
+    Open after ``failures`` failures in a row; calls are refused until
+    ``cooldown`` seconds later, when the first one is let through half open and closes
+    the circuit or opens it again.
+    """
+    return fold_table(outcomes, ["target"], Circuit(failures, cooldown), {"success": F.col("success")})
+
+
 def cached_advice(requests: DataFrame, by: Sequence[str], ttl: int = 60) -> DataFrame:
-    """Whether the call before with the same key is younger than the time to live."""
-    previous = F.lag(F.unix_micros("ts")).over(W.partitionBy(*by).orderBy("ts", "request_id"))
-    return requests.withColumn("cached", F.coalesce(F.unix_micros("ts") - previous <= ttl * 1_000_000, F.lit(False)))
+    """``by, request_id, cached``: whether an answer for the same key still lives, made at most ``ttl`` seconds before by a call that found none."""
+    return fold_table(requests, by, Cache(ttl), {})

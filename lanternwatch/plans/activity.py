@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lanternwatch.functions.regexes import Pattern
-from lanternwatch.operators import audit, flow, ledger, pii, sequence
+from lanternwatch.operators import audit, flow, folds, ledger, pii, sequence
 from lanternwatch.plans import content
 from lanternwatch.plans.common import calls, query, table, texts
-from lanternwatch.plans.policy import AS_OF, CLASS, outputs_of_reads, spiked
+from lanternwatch.plans.policy import AS_OF, CLASS, outputs_of_reads, spiked, with_body
 from lanternwatch.sources.calls import CALLS_SQL
 
 DAY_US = 86400 * 1_000_000
@@ -87,7 +87,7 @@ def _chain_case() -> str:
     return "CASE " + " ".join(f"WHEN {test} THEN '{name}'" for name, test in _chain_tests().items()) + " END"
 
 
-_LAGGED = f"SELECT *, lag(tool_name, 1) OVER w AS t1, lag(tool_name, 2) OVER w AS t2, epoch_us(ts) - epoch_us(lag(ts, 1) OVER w) <= {DAY_US} AS a1, epoch_us(ts) - epoch_us(lag(ts, 2) OVER w) <= {DAY_US} AS a2, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY session_id ORDER BY epoch_us(ts) RANGE BETWEEN {DAY_US} PRECEDING AND CURRENT ROW)) / 1e6 AS span FROM calls WINDOW w AS (PARTITION BY session_id ORDER BY ts, request_id)"
+_LAGGED = f"SELECT *, lag(tool_name, 1) OVER w AS t1, lag(tool_name, 2) OVER w AS t2, epoch_us(ts) - epoch_us(lag(ts, 1) OVER w) <= {DAY_US} AS a1, epoch_us(ts) - epoch_us(lag(ts, 2) OVER w) <= {DAY_US} AS a2, (epoch_us(ts) - greatest(min(epoch_us(ts)) OVER (PARTITION BY session_id ORDER BY epoch_us(ts) RANGE BETWEEN {DAY_US} PRECEDING AND CURRENT ROW), epoch_us(lag(ts, 49) OVER w))) / 1e6 AS span FROM calls WINDOW w AS (PARTITION BY session_id ORDER BY ts, request_id)"
 
 
 @query("w7_detect_chains", f"SELECT request_id, session_id, chain_id FROM (SELECT request_id, session_id, {_chain_case()} AS chain_id FROM (SELECT *, lag(tool_name, 1) OVER w AS t1, lag(tool_name, 2) OVER w AS t2, epoch_us(ts) - epoch_us(lag(ts, 1) OVER w) <= {DAY_US} AS a1, epoch_us(ts) - epoch_us(lag(ts, 2) OVER w) <= {DAY_US} AS a2 FROM calls WINDOW w AS (PARTITION BY session_id ORDER BY ts, request_id))) WHERE chain_id IS NOT NULL", calls_sql=True)
@@ -98,9 +98,35 @@ def w7(spark, sf):
 _SEVERITY = "CASE chain_id " + " ".join(f"WHEN '{c.name}' THEN {c.severity}::DOUBLE" for c in sequence.CHAINS) + " END"
 
 
-@query("w8_chain_confidence", f"SELECT request_id, chain_id, {_SEVERITY} AS severity, round(least(1.0::DOUBLE, {_SEVERITY} * least(1.0::DOUBLE, greatest(0.5::DOUBLE, 1 - (span - 60) / 86400)) * 0.85::DOUBLE), 6) AS confidence, n_chains FROM (SELECT request_id, span, {_chain_case()} AS chain_id, {' + '.join(f'({t})::INT' for t in _chain_tests().values())} AS n_chains FROM ({_LAGGED})) WHERE chain_id IS NOT NULL", calls_sql=True)
+#: Outputs of reading calls and calls with their bodies, of real sessions; pairs within the time to live, the newest 50 outputs a call.
+_SQL_OUT = "o AS (SELECT request_id AS source_id, session_id, ts AS ots, tool_name AS st, text AS output FROM calls JOIN documents ON event_id % (SELECT count(*) FROM documents) = doc_id WHERE tool_name IN ('browser.fetch', 'http.fetch', 'filesystem.read', 'gmail.read_email'))"
+_SQL_IN = """src AS (SELECT *, (CASE WHEN event_id % 4 = 1 THEN coalesce(last_value(CASE WHEN tool_name IN ('browser.fetch', 'http.fetch', 'filesystem.read', 'gmail.read_email') THEN event_id END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), event_id) ELSE event_id END) % (SELECT count(*) FROM documents) AS doc FROM calls),
+c AS (SELECT request_id, session_id, ts, tool_name, coalesce(text, '') || ' ' || phrase AS args FROM src LEFT JOIN documents ON doc = doc_id)"""
+_SINK = "c.tool_name IN ('gmail.send_email', 'slack.send_message', 'sms.send', 'webhook.send', 'http.post', 'social.publish_with_approval', 'github.create_issue', 'github.create_pr_comment', 'postgres.query', 'supabase.query')"
+
+
+def _pairs(name: str, seconds: int, where: str = "TRUE") -> str:
+    return f"{name} AS (SELECT c.request_id, c.tool_name, args, source_id, st, output FROM c JOIN o ON c.session_id = o.session_id AND epoch_us(c.ts) - epoch_us(ots) > 0 AND epoch_us(c.ts) - epoch_us(ots) < {seconds * 1_000_000} WHERE {where} QUALIFY row_number() OVER (PARTITION BY c.request_id ORDER BY ots DESC, source_id DESC) <= 50)"
+
+
+_NEEDLES = "SELECT request_id, source_id, count(*) AS n_needles FROM (SELECT request_id, source_id, args, substr(output, i + 1, 60) AS x FROM (SELECT *, unnest([0, 200, 400, 600, 800]) AS i FROM {}) WHERE i < length(output)) WHERE length(x) >= 12 AND contains(args, x) GROUP BY 1, 2"
+_PIECES = "SELECT request_id, source_id FROM {} WHERE len(list_filter(range(0, 971, 30), lambda i: i + 30 <= length(output) AND contains(args, substr(output, i + 1, 30)))) > 0"
+_SHINGLE = "list_distinct(list_transform(range(1, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i:i + 3], ' ')))"
+_TOK = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+_ALIKE = f"""SELECT request_id, source_id, similarity FROM (SELECT request_id, source_id, len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) AS similarity FROM (SELECT request_id, source_id, (SELECT {_SHINGLE} FROM (SELECT {_TOK.format("output")} AS w)) AS a, (SELECT {_SHINGLE} FROM (SELECT {_TOK.format("args")} AS w)) AS b FROM <pairs>) WHERE len(a) > 0 AND len(b) > 0) WHERE similarity >= 0.3"""
+
+
+def _bodies(spark, sf):
+    """Calls whose arguments are their bodies, as plain text."""
+    return with_body(spark, sf).select("request_id", "session_id", "ts", "tool_name", F.col("body").alias("args"))
+
+
+@query("w8_chain_confidence", f", {_SQL_OUT}, {_SQL_IN}, {_pairs('p', 86400)}, flows AS ({_PIECES.format('p')}) SELECT request_id, chain_id, {_SEVERITY} AS severity, round(least(1.0::DOUBLE, {_SEVERITY} * least(1.0::DOUBLE, greatest(0.5::DOUBLE, 1 - (span - 60) / 86400)) * CASE WHEN request_id IN (SELECT request_id FROM flows) THEN 1.0::DOUBLE ELSE 0.85::DOUBLE END), 6) AS confidence, n_chains FROM (SELECT request_id, span, {_chain_case()} AS chain_id, {' + '.join(f'({t})::INT' for t in _chain_tests().values())} AS n_chains FROM ({_LAGGED})) WHERE chain_id IS NOT NULL", calls_sql=True)
 def w8(spark, sf):
-    return sequence.detect_chains(calls(spark, sf), window=86400).select("request_id", "chain_id", "severity", F.round("confidence", 6).alias("confidence"), F.size("all_chains").alias("n_chains"))
+    """With the data flow of earlier outputs into each call's body."""
+    flows = flow.dataflow_join(outputs_of_reads(spark, sf), _bodies(spark, sf), window=86400)
+    found = sequence.detect_chains(calls(spark, sf), window=86400, flows=flows)
+    return found.select("request_id", "chain_id", "severity", F.round("confidence", 6).alias("confidence"), F.size("all_chains").alias("n_chains"))
 
 
 @query("w9_session_history", f"SELECT session_id, request_id FROM (SELECT session_id, request_id, max(epoch_us(ts)) OVER (PARTITION BY session_id) - epoch_us(ts) AS age, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, request_id DESC) AS r FROM calls) WHERE r <= 50 AND age <= {DAY_US}", calls_sql=True)
@@ -112,8 +138,12 @@ _EVENTS = "SELECT 'ap_' || (event_id - event_id % 3) AS approval_id, CASE event_
 
 
 def _approval_events(spark, sf):
+    return _as_approvals(calls(spark, sf))
+
+
+def _as_approvals(c):
     kind = F.col("event_id") % 3
-    return calls(spark, sf).where("event_id % 3 = 0 OR event_id % 7 = 1").select(F.concat(F.lit("ap_"), (F.col("event_id") - kind).cast("string")).alias("approval_id"), F.when(kind == 0, "create").when(kind == 1, "approve").otherwise("reject").alias("event"), "ts", (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("expires_at"))
+    return c.where("event_id % 3 = 0 OR event_id % 7 = 1").select(F.concat(F.lit("ap_"), (F.col("event_id") - kind).cast("string")).alias("approval_id"), F.when(kind == 0, "create").when(kind == 1, "approve").otherwise("reject").alias("event"), "ts", (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("expires_at"))
 
 
 @query("w10_approval_state", f", e AS ({_EVENTS}), l AS (SELECT approval_id, arg_max(event, (ts, event)) AS event, arg_max(expires_at, (ts, event)) AS x FROM e GROUP BY 1) SELECT approval_id, CASE WHEN event = 'approve' THEN 'APPROVED' WHEN event = 'reject' THEN 'REJECTED' WHEN x < TIMESTAMP '{AS_OF}' THEN 'EXPIRED' ELSE 'PENDING' END AS status FROM l", calls_sql=True)
@@ -167,6 +197,25 @@ def w13(spark, sf):
     return sequence.outage_intervals(calls(spark, sf).select("request_id", F.col("tool_name").alias("target"), "ts", (F.col("k") % 4 == 0).alias("success")))
 
 
+_CIRCUIT_SQL = f"""WITH RECURSIVE calls AS ({CALLS_SQL}),
+seq AS (SELECT request_id, tool_name AS target, epoch_us(ts) AS us, k % 4 = 0 AS ok, row_number() OVER (PARTITION BY tool_name ORDER BY ts, request_id) AS r FROM calls),
+fold AS (SELECT target, 0::BIGINT AS r, NULL AS request_id, TRUE AS allowed, 'CLOSED' AS state, 'CLOSED' AS after, 0::BIGINT AS failures, 0::BIGINT AS opened FROM (SELECT DISTINCT target FROM seq)
+  UNION ALL
+  SELECT target, r, request_id, now <> 'OPEN', now, after, CASE WHEN now = 'OPEN' THEN failures WHEN ok THEN 0 ELSE failures + 1 END, CASE WHEN now <> 'OPEN' AND after = 'OPEN' THEN us ELSE opened END
+  FROM (SELECT *, CASE WHEN now = 'OPEN' THEN 'OPEN' WHEN ok THEN 'CLOSED' WHEN now = 'HALF_OPEN' OR failures + 1 >= 5 THEN 'OPEN' ELSE 'CLOSED' END AS after
+        FROM (SELECT s.target, s.r, s.request_id, s.us, s.ok, f.failures, f.opened, CASE WHEN f.after = 'OPEN' AND s.us - f.opened >= 21600000000 THEN 'HALF_OPEN' ELSE f.after END AS now FROM fold f JOIN seq s ON s.target = f.target AND s.r = f.r + 1)))
+SELECT target, request_id, allowed, state, after, failures FROM fold WHERE r > 0"""
+
+
+def _outcomes(c):
+    return c.select("request_id", F.col("tool_name").alias("target"), "ts", (F.col("k") % 4 == 0).alias("success"))
+
+
+@query("w13_outage_states", _CIRCUIT_SQL)
+def w13_states(spark, sf):
+    return sequence.outage_states(_outcomes(calls(spark, sf)), 5, 21600)
+
+
 @query("w14_token_bucket_flags", f"""WITH RECURSIVE calls AS ({CALLS_SQL}),
 seq AS (SELECT request_id, tenant_id AS key, epoch_us(ts) AS us, row_number() OVER (PARTITION BY tenant_id ORDER BY ts, request_id) AS r FROM calls),
 fold AS (SELECT *, TRUE AS allowed, 9.0::DOUBLE AS remaining FROM seq WHERE r = 1
@@ -176,14 +225,20 @@ def w14(spark, sf):
     return sequence.token_bucket_flags(calls(spark, sf), "tenant_id", 10.0, 1 / 3600).select("request_id", "key", "allowed", F.round("remaining", 6).alias("remaining"))
 
 
-@query("w15_cached_advice", f"SELECT request_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY tool_name, arg_sql ORDER BY ts, request_id) <= 3600000000, FALSE) AS cached FROM calls", calls_sql=True)
+@query("w15_cached_advice", f"""WITH RECURSIVE calls AS ({CALLS_SQL}),
+seq AS (SELECT request_id, tool_name, arg_sql, epoch_us(ts) AS us, row_number() OVER (PARTITION BY tool_name, arg_sql ORDER BY ts, request_id) AS r FROM calls),
+fold AS (SELECT *, us + 36000000000 AS ends, FALSE AS cached FROM seq WHERE r = 1
+         UNION ALL SELECT s.*, CASE WHEN s.us <= f.ends THEN f.ends ELSE s.us + 36000000000 END, s.us <= f.ends FROM fold f JOIN seq s ON s.tool_name = f.tool_name AND s.arg_sql = f.arg_sql AND s.r = f.r + 1)
+SELECT request_id, cached FROM fold""")
 def w15(spark, sf):
-    return sequence.cached_advice(calls(spark, sf), ["tool_name", "arg_sql"], 3600).select("request_id", "cached")
+    return sequence.cached_advice(calls(spark, sf), ["tool_name", "arg_sql"], 36000).select("request_id", "cached")
 
 
-@query("a11_activity_snapshot", f"SELECT tenant_id, agent_id, tool_name, count(*) AS total, count(*) FILTER (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts) BETWEEN 0 AND 3600000000) AS last_1h, count(*) FILTER (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts) BETWEEN 0 AND {DAY_US}) AS last_1d FROM calls GROUP BY ALL", calls_sql=True)
+@query("a11_activity_snapshot", _SPIKE_SQL + f", newest AS (SELECT tenant_id, agent_id, tool_name, arg_max(m, r) AS ewma FROM fold GROUP BY ALL) SELECT tenant_id, agent_id, tool_name, count(*) AS total, " + ", ".join(f"count(*) FILTER (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts) BETWEEN 0 AND {s * 1_000_000}) AS {n}" for n, s in (("last_1m", 60), ("last_1h", 3600), ("last_1d", 86400))) + ", round(max(ewma), 6) AS ewma_1h FROM calls JOIN newest USING (tenant_id, agent_id, tool_name) GROUP BY ALL")
 def a11(spark, sf):
-    return sequence.activity_snapshot(calls(spark, sf), AS_OF)
+    c = calls(spark, sf)
+    smoothed = sequence.ewma(sequence.rolling_counts(c, {"n_1h": 3600}))
+    return sequence.activity_snapshot(c, AS_OF, smoothed=smoothed).withColumn("ewma_1h", F.round("ewma_1h", 6))
 
 
 _BOUNDS = (1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0)
@@ -211,49 +266,32 @@ def k3(spark, sf):
     return calls(spark, sf).withColumn("_r", newest).where("_r <= 3").select("user_id", "request_id")
 
 
-def _sinks(spark, sf):
-    """Calls whose arguments quote a document: the piece at 200 of the one before by event number.
-
-    That event is another user's, so calls and outputs share one session here, without the store of 50 outputs a session.
-    """
-    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("t"))
-    n = docs.agg(F.count("*").alias("n"))
-    rows = calls(spark, sf).withColumn("_n", n.scalar())
-    rows = rows.join(docs, (F.col("event_id") - 1) % F.col("_n") == F.col("doc_id"))
-    return rows.select("request_id", F.lit("all").alias("session_id"), "ts", "tool_name", F.concat(F.lit("see "), F.substring("t", 201, 300)).alias("args"))
-
-
-_SQL_OUT = "o AS (SELECT request_id AS source_id, ts AS ots, tool_name AS st, text AS output FROM calls JOIN documents ON event_id % (SELECT count(*) FROM documents) = doc_id WHERE tool_name IN ('browser.fetch', 'http.fetch', 'filesystem.read', 'gmail.read_email'))"
-_SQL_IN = "c AS (SELECT request_id, ts, tool_name, 'see ' || substr(text, 201, 300) AS args FROM calls JOIN documents ON (event_id - 1) % (SELECT count(*) FROM documents) = doc_id)"
-_PAIR = "p AS (SELECT * FROM c JOIN o ON epoch_us(c.ts) - epoch_us(ots) > 0 AND epoch_us(c.ts) - epoch_us(ots) < 14400000000 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY ots DESC, source_id DESC) <= 50)"
-
-
-@query("j1_taint_verbatim", f", {_SQL_OUT}, {_SQL_IN}, {_PAIR}, n AS (SELECT request_id, source_id, args, substr(output, i + 1, 60) AS x FROM (SELECT *, unnest([0, 200, 400, 600, 800]) AS i FROM p) WHERE i < length(output)) SELECT request_id, source_id, count(*) AS n_needles FROM n WHERE length(x) >= 12 AND contains(args, x) GROUP BY 1, 2", calls_sql=True)
+@query("j1_taint_verbatim", f", {_SQL_OUT}, {_SQL_IN}, {_pairs('p', 14400)} {_NEEDLES.format('p')}", calls_sql=True)
 def j1(spark, sf):
-    outputs = outputs_of_reads(spark, sf).withColumn("session_id", F.lit("all"))
-    return flow.taint_verbatim(outputs, _sinks(spark, sf), ttl=14400, keep=None).select("request_id", "source_id", F.col("n_needles").cast("long").alias("n_needles"))
+    found = flow.taint_verbatim(outputs_of_reads(spark, sf), _bodies(spark, sf), ttl=14400)
+    return found.select("request_id", "source_id", F.col("n_needles").cast("long").alias("n_needles"))
 
 
-_SHINGLE = "list_distinct(list_transform(range(1, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i:i + 3], ' ')))"
-_TOK = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+@query("j2_taint_similarity", f", {_SQL_OUT}, {_SQL_IN}, {_pairs('p', 14400)} SELECT request_id, source_id, round(similarity, 6) AS similarity FROM ({_ALIKE.replace('<pairs>', 'p')})", calls_sql=True)
+def j2(spark, sf):
+    found = flow.taint_similarity(outputs_of_reads(spark, sf), _bodies(spark, sf), ttl=14400)
+    return found.select("request_id", "source_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("j2_taint_similarity", f"WITH b AS (SELECT item_id, {_SHINGLE} AS s FROM (SELECT item_id, {_TOK.format('text')} AS w FROM benchmark)), d AS (SELECT doc_id, {_SHINGLE} AS s FROM (SELECT doc_id, {_TOK.format('text')} AS w FROM documents)), x AS (SELECT item_id, len(s) AS na, unnest(s) AS h FROM b), y AS (SELECT doc_id, len(s) AS nb, unnest(s) AS h FROM d) SELECT item_id, doc_id, count(*) AS shared, round(count(*) / (na + nb - count(*)), 6) AS jaccard, round(count(*) / na, 6) AS containment FROM x JOIN y USING (h) GROUP BY item_id, doc_id, na, nb")
-def j2(spark, sf):
+@query("j2_shingle_overlap", f"WITH b AS (SELECT item_id, {_SHINGLE} AS s FROM (SELECT item_id, {_TOK.format('text')} AS w FROM benchmark)), d AS (SELECT doc_id, {_SHINGLE} AS s FROM (SELECT doc_id, {_TOK.format('text')} AS w FROM documents)), x AS (SELECT item_id, len(s) AS na, unnest(s) AS h FROM b), y AS (SELECT doc_id, len(s) AS nb, unnest(s) AS h FROM d) SELECT item_id, doc_id, count(*) AS shared, round(count(*) / (na + nb - count(*)), 6) AS jaccard, round(count(*) / na, 6) AS containment FROM x JOIN y USING (h) GROUP BY item_id, doc_id, na, nb")
+def j2_overlap(spark, sf):
     found = flow.shingle_overlap(table(spark, sf, "benchmark"), table(spark, sf, "documents"), "item_id", "doc_id", "text", "text")
     return found.withColumns({"jaccard": F.round("jaccard", 6), "containment": F.round("containment", 6)})
 
 
-@query("j3_taint_flows")
+@query("j3_taint_flows", f", {_SQL_OUT}, {_SQL_IN}, {_pairs('p', 14400, _SINK)}, v AS ({_NEEDLES.format('p')}), s AS ({_ALIKE.replace('<pairs>', 'p')}) SELECT request_id, source_id, bool_or(verbatim) AS verbatim FROM (SELECT request_id, source_id, TRUE AS verbatim FROM v UNION ALL SELECT request_id, source_id, FALSE FROM s) GROUP BY 1, 2", calls_sql=True)
 def j3(spark, sf):
-    outputs = outputs_of_reads(spark, sf).withColumn("session_id", F.lit("all"))
-    return flow.taint_flows(outputs, _sinks(spark, sf), ttl=14400, keep=None)
+    return flow.taint_flows(outputs_of_reads(spark, sf), _bodies(spark, sf), ttl=14400)
 
 
-@query("j4_dataflow_join", f", {_SQL_OUT}, {_SQL_IN}, {_PAIR} SELECT request_id, source_id FROM p WHERE len(list_filter(range(0, 971, 30), lambda i: i + 30 <= length(output) AND contains(args, substr(output, i + 1, 30)))) > 0", calls_sql=True)
+@query("j4_dataflow_join", f", {_SQL_OUT}, {_SQL_IN}, {_pairs('p', 14400)} {_PIECES.format('p')}", calls_sql=True)
 def j4(spark, sf):
-    outputs = outputs_of_reads(spark, sf).withColumn("session_id", F.lit("all"))
-    return flow.dataflow_join(outputs, _sinks(spark, sf), window=14400, keep=None)
+    return flow.dataflow_join(outputs_of_reads(spark, sf), _bodies(spark, sf), window=14400)
 
 
 @query("j7_resolve_api_keys", ", k AS (SELECT event_id, request_id, 'lw_' || user_id AS raw FROM calls), s AS (SELECT DISTINCT sha256('lw_' || user_id) AS h, 'key_' || user_id AS key_id, user_id FROM calls WHERE user_id < 'u5') SELECT request_id, key_id, coalesce(key_id IS NOT NULL AND NOT ends_with(user_id, '3') AND (ends_with(user_id, '1') OR ends_with(user_id, '2')), FALSE) AS allowed FROM k LEFT JOIN s ON sha256(raw) = h", calls_sql=True)
@@ -315,3 +353,58 @@ def _replayed(spark, sf, mode, job):
 
     rows.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out")
+
+
+def _to_the_end(spark, sf, job):
+    """A streaming job over the events and one event at the end of time, which moves the watermark past all others."""
+    import uuid
+
+    from lanternwatch.sources.calls import calls_from_events
+    from lanternwatch.streaming.calls import replay
+    from lanternwatch.streaming.shared import shared_folder
+
+    events = table(spark, sf, "events")
+    base = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    last = {"event_id": F.lit(LAST_EVENT), "ts": F.lit("2999-01-01 00:00:00"), "props": F.lit('{"k": 0}'), "user_id": F.lit(0), "event_type": F.lit("view")}
+    spark.range(1).select(*[last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema]).write.parquet(f"{base}/last")
+    read = lambda glob, path: spark.readStream.schema(events.schema).option("pathGlobFilter", glob).option("recursiveFileLookup", True).parquet(path)
+    rows = read("events*", sf).unionByName(read("*.parquet", f"{base}/last"))
+    # each batch is written under its number, so one that is repeated after a failure replaces itself
+    replay(job(calls_from_events(rows)), lambda batch, number: batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}"), f"{base}/state")
+    return spark.read.parquet(f"{base}/out").drop("batch")
+
+
+LAST_EVENT = 3 * 10**15
+
+
+@query("t2_stream_anomaly", _SPIKE_SQL + f" SELECT request_id, h AS n_1h, round(m, 6) AS ewma, CASE WHEN h >= t THEN 'burst' WHEN r = 1 AND {_SEVERE} THEN 'first_seen' WHEN spike THEN 'spike' END AS kind, round(CASE WHEN h >= t THEN least(1.0::DOUBLE, h / (2 * t)) WHEN r = 1 AND {_SEVERE} THEN 0.55::DOUBLE ELSE spike_score END, 6) AS score FROM spikes")
+def t2(spark, sf):
+    from lanternwatch.streaming import calls as streams
+
+    found = _to_the_end(spark, sf, lambda rows: streams.anomaly_state(rows, "0 seconds", folds.Anomaly(burst="n_1h")))
+    return found.where(F.col("request_id") != f"req_{LAST_EVENT}").select("request_id", "n_1h", F.round("ewma", 6).alias("ewma"), "kind", F.round("score", 6).alias("score"))
+
+
+@query("t3_stream_chains", f"SELECT request_id, chain_id, {_SEVERITY} AS severity, round(least(1.0::DOUBLE, {_SEVERITY} * least(1.0::DOUBLE, greatest(0.5::DOUBLE, 1 - (span - 60) / 86400)) * 0.85::DOUBLE), 6) AS confidence, n_chains FROM (SELECT request_id, span, {_chain_case()} AS chain_id, {' + '.join(f'({t})::INT' for t in _chain_tests().values())} AS n_chains FROM ({_LAGGED})) WHERE chain_id IS NOT NULL", calls_sql=True)
+def t3(spark, sf):
+    from lanternwatch.streaming import calls as streams
+
+    found = _to_the_end(spark, sf, lambda rows: streams.chain_state(rows, "0 seconds", 86400))
+    return found.select("request_id", "chain_id", "severity", F.round("confidence", 6).alias("confidence"), F.size("all_chains").alias("n_chains"))
+
+
+@query("t8_stream_outages", _CIRCUIT_SQL)
+def t8(spark, sf):
+    from lanternwatch.streaming import calls as streams
+
+    found = _to_the_end(spark, sf, lambda rows: streams.circuit_state(_outcomes(rows), 5, 21600, "0 seconds"))
+    return found.where(F.col("request_id") != f"req_{LAST_EVENT}")
+
+
+@query("t9_stream_approvals", f", e AS ({_EVENTS}), l AS (SELECT approval_id, arg_max(event, (ts, event)) AS event FROM e GROUP BY 1) SELECT approval_id, CASE event WHEN 'approve' THEN 'APPROVED' WHEN 'reject' THEN 'REJECTED' ELSE 'EXPIRED' END AS status FROM l", calls_sql=True)
+def t9(spark, sf):
+    """The newest status of each approval at the end of time, when every one that still waited has expired by its timer."""
+    from lanternwatch.streaming import calls as streams
+
+    states = _to_the_end(spark, sf, lambda rows: streams.approval_states(_as_approvals(rows), "0 seconds")).where(F.col("approval_id") != f"ap_{LAST_EVENT}")
+    return states.groupBy("approval_id").agg(F.max_by("status", F.struct("us", (F.col("status") == "EXPIRED").alias("last"))).alias("status"))

@@ -155,7 +155,7 @@ def _decided(spark, sf):
     return policy.decide(calls(spark, sf), text="phrase")
 
 
-def _with_body(spark, sf):
+def with_body(spark, sf):
     """Calls with a document as the body in their arguments, by event number; every fourth forwards what its session read last."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     n = docs.agg(F.count("*").alias("n"))
@@ -171,7 +171,7 @@ def _with_body(spark, sf):
 
 def _decided_all(spark, sf):
     """Decisions of all ten stages, from the taint, chain and anomaly tables of the same calls."""
-    c = _with_body(spark, sf)
+    c = with_body(spark, sf)
     # needles are pieces of plain text, so flows look at the body and not at its JSON form
     sinks = c.select("request_id", "session_id", "ts", "tool_name", F.col("body").alias("args"))
     taint = flow.taint_flows(outputs_of_reads(spark, sf), sinks, ttl=14400)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lanternwatch.operators import policy
+from lanternwatch.operators import folds, policy, sequence
+from lanternwatch.streaming.ordered import ordered_fold
 
 
 def burst_counts(calls: DataFrame, length: str = "60 seconds", slide: str = "10 seconds", late: str = "10 minutes") -> DataFrame:
@@ -45,69 +44,53 @@ def risk_and_rules(calls: DataFrame) -> DataFrame:
     return policy.apply_rules(calls)
 
 
-def ewma_state(calls: DataFrame, key: str = "session_id", x: str = "value", alpha: float = 0.2) -> DataFrame:
-    """``key, request_id, ewma`` by arrival: rows of a batch in time order, state carried across batches."""
+def anomaly_state(calls: DataFrame, late: str = "10 minutes", fold: folds.Anomaly | None = None) -> DataFrame:
+    """Counts, smoothed rate, burst, first sight and spike of each call by tenant, agent and tool, as the batch operators have them."""
+    severe = policy.risk_class(F.col("tool_name")).isin("DESTRUCTIVE", "EXTERNAL_SIDE_EFFECT")
+    return ordered_fold(calls, list(sequence.KEY), fold or folds.Anomaly(), {"severe": severe}, late)
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mean = state.get[0] if state.exists else 0.0
-        for pdf in batches:
-            pdf = pdf.sort_values(["ts", "request_id"])
-            means = []
-            for v in pdf[x]:
-                mean = (1 - alpha) * mean + alpha * v
-                means.append(mean)
-            yield pd.DataFrame({"key": [k[0]] * len(pdf), "request_id": pdf["request_id"], "ewma": means})
-        state.update((mean,))
 
-    return calls.groupBy(key).applyInPandasWithState(step, "key string, request_id string, ewma double", "mean double", "append", GroupStateTimeout.NoTimeout)
+def chain_state(calls: DataFrame, late: str = "10 minutes", window: int = 300, keep: int = 50, flow: Column | None = None) -> DataFrame:
+    """Calls that complete a chain, by session, as ``sequence.detect_chains``. ``flow`` says whether a call's arguments hold earlier output."""
+    chains = sequence.CHAINS
+    two = sum(1 << i for i, c in enumerate(chains) if len(c.steps) == 2)
+    fold = folds.Steps([c.name for c in chains], [c.severity for c in chains], two, window, keep)
+    return ordered_fold(calls, ["session_id"], fold, {**sequence.chain_masks(), "flow": F.lit(False) if flow is None else flow}, late)
 
 
-def bucket_state(requests: DataFrame, key: str, capacity: float = 60.0, per_second: float = 1.0) -> DataFrame:
-    """``key, request_id, allowed, remaining`` of a token bucket by key; level and time are carried across batches."""
+def bucket_state(requests: DataFrame, key: str, capacity: float = 60.0, per_second: float = 1.0, late: str = "10 minutes") -> DataFrame:
+    """``key, request_id, allowed, remaining`` of a token bucket by key, as ``sequence.token_bucket_flags``."""
+    rows = requests.withColumnRenamed(key, "key")
+    return ordered_fold(rows, ["key"], folds.Bucket(capacity, per_second), {"cost": F.lit(1.0)}, late)
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        level, at = state.get if state.exists else (capacity, -1)
-        pdf = pd.concat(list(batches)).sort_values(["us", "request_id"])
-        allowed, remaining = [], []
-        for us in pdf["us"]:
-            level = min(capacity, level + (us - at) / 1e6 * per_second) if at >= 0 else level
-            at = int(us)
-            allowed.append(level >= 1)
-            level -= 1 if level >= 1 else 0
-            remaining.append(float(level))
-        state.update((float(level), at))
-        yield pd.DataFrame({"key": [k[0]] * len(pdf), "request_id": pdf["request_id"], "allowed": allowed, "remaining": remaining})
 
-    rows = requests.select(F.col(key).alias("key"), "request_id", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, request_id string, allowed boolean, remaining double", "level double, at long", "append", GroupStateTimeout.NoTimeout)
+def circuit_state(outcomes: DataFrame, failures: int = 5, cooldown: int = 30, late: str = "10 minutes") -> DataFrame:
+    """``target, request_id, allowed, state, after, failures``, as ``sequence.outage_states``."""
+    return ordered_fold(outcomes, ["target"], folds.Circuit(failures, cooldown), {"success": F.col("success")}, late)
 
 
-def scrutiny_state(events: DataFrame, ttl: int = 15 * 60) -> DataFrame:
-    """``session_id, request_id, under_scrutiny, calls_left`` of decisions, in a stream of decisions and accepted overrides.
+def advice_state(requests: DataFrame, by: list[str], ttl: int = 60, late: str = "10 minutes") -> DataFrame:
+    """``by, request_id, cached``, as ``sequence.cached_advice``."""
+    return ordered_fold(requests, by, folds.Cache(ttl), {}, late)
 
-    ``scrutiny_calls`` is over 0 in the row of an override. Rows of a batch are
-    taken in time order, overrides first; what is left of a window is carried
-    across batches.
+
+def scrutiny_state(events: DataFrame, ttl: int = 15 * 60, late: str = "10 minutes") -> DataFrame:
+    """``tenant_id, session_id, request_id, under_scrutiny, calls_left`` of decisions, in a stream of decisions and accepted overrides.
+
+    ``scrutiny_calls`` is over 0 in the row of an override, which comes before decisions of its moment; as ``flow.scrutiny_windows``.
     """
+    calls = F.coalesce("scrutiny_calls", F.lit(0))
+    rows = events.withColumns({"request_id": F.when(calls > 0, "").otherwise(F.col("request_id"))})
+    return ordered_fold(rows, ["tenant_id", "session_id"], folds.Scrutiny(ttl), {"calls": calls}, late)
+
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        left, until = state.get if state.exists else (0, 0)
-        pdf = pd.concat(list(batches))
-        pdf = pdf.assign(tick=pdf["calls"] == 0).sort_values(["us", "tick", "request_id"])
-        out = []
-        for us, calls, request in zip(pdf["us"], pdf["calls"], pdf["request_id"], strict=True):
-            if left <= 0 or us >= until:
-                left, until = 0, 0
-            if calls > 0:
-                left, until = max(left, int(calls)), max(until, int(us) + ttl * 1_000_000)
-            else:
-                out.append((k[1], request, left > 0, max(0, left - 1)))
-                left = max(0, left - 1)
-        state.update((int(left), int(until)))
-        yield pd.DataFrame(out, columns=["session_id", "request_id", "under_scrutiny", "calls_left"])
-
-    rows = events.select("tenant_id", "session_id", F.coalesce("request_id", F.lit("")).alias("request_id"), F.unix_micros("ts").alias("us"), F.coalesce("scrutiny_calls", F.lit(0)).alias("calls"))
-    return rows.groupBy("tenant_id", "session_id").applyInPandasWithState(step, "session_id string, request_id string, under_scrutiny boolean, calls_left int", "left_calls int, until long", "append", GroupStateTimeout.NoTimeout)
+def approval_states(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """``approval_id, status, us`` of each change of an approval; EXPIRED comes from an event-time timer once the watermark passes ``expires_at``.
+
+    An approval's newest row is what ``sequence.approval_state`` says as of the watermark.
+    """
+    rows = events.withColumn("request_id", F.col("event"))
+    return ordered_fold(rows, ["approval_id"], folds.Approval(), {"event": F.col("event"), "expires_us": F.unix_micros("expires_at")}, late)
 
 
 def apply_pauses_to(decisions: DataFrame, pauses: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:

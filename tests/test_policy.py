@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanternwatch.operators import audit, flow, ledger, policy, sequence
-from lanternwatch.streaming import calls as streams
 
 CALLS = [
     ("1", "shell.run", {"command": "rm -rf /"}, "OPERATOR", "BLOCK", "dangerous-shell"), ("2", "postgres.query", {"sql": "drop table x"}, "OPERATOR", "BLOCK", "dangerous-sql"),
@@ -102,14 +101,3 @@ def test_taint_without_a_store(spark):
     assert pairs(flow.dataflow_join(o, c, window=1800, keep=None)) == {("c1", "o")}
     first = lambda keep: {(r["request_id"], r["source_id"], round(r["similarity"], 9)) for r in flow.taint_similarity(o.where("t < 40"), c, keep=keep).collect()}
     assert first(None) == first(50) != set()  # the hash join is the pairwise measure
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    rows = [(str(i), f"k{i % 3}", float(i % 7), i) for i in range(60)]
-    c = spark.createDataFrame(rows, "request_id string, session_id string, value double, s int").withColumn("ts", F.timestamp_seconds("s"))
-    c.coalesce(1).write.parquet(str(tmp_path / "in"))
-    got: dict = {}
-    stream = streams.ewma_state(spark.readStream.schema(c.schema).parquet(str(tmp_path / "in")))
-    streams.replay(stream, lambda df, _: got.update({r["request_id"]: r["ewma"] for r in df.collect()}), str(tmp_path / "ck"))
-    want = {r["request_id"]: r["ewma"] for r in sequence.ewma(c, "value", ["session_id"]).collect()}
-    assert got == pytest.approx(want)
