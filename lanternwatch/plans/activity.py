@@ -369,7 +369,7 @@ def _to_the_end(spark, sf, job):
 
     events = table(spark, sf, "events")
     base = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
-    last = {"event_id": F.lit(LAST_EVENT), "ts": F.lit("2999-01-01 00:00:00"), "props": F.lit('{"k": 0}'), "user_id": F.lit(0), "event_type": F.lit("view")}
+    last = {"event_id": F.lit(LAST_EVENT), "ts": F.lit("2200-01-01 00:00:00"), "props": F.lit('{"k": 0}'), "user_id": F.lit(0), "event_type": F.lit("view")}
     spark.range(1).select(*[last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema]).write.parquet(f"{base}/last")
     read = lambda glob, path: spark.readStream.schema(events.schema).option("pathGlobFilter", glob).option("recursiveFileLookup", True).parquet(path)
     rows = read("events*", sf).unionByName(read("*.parquet", f"{base}/last"))
