@@ -170,9 +170,14 @@ def _split(members: DataFrame, centres: DataFrame, depth: int, reach: float) ->
     large = materialize(large.join(centres, "cell"), "cells")
     if large.isEmpty():
         return None
-    chance = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(1 << 30)) < F.lit(float(SAMPLE << 30)) / F.col("n")
-    solid, most = F.col("radius") < reach / 4, F.least(F.lit(MAX_CENTRES), F.greatest(F.lit(2), F.ceil(2 * F.col("n") / CELL)))
-    drawn = members.join(large.where(~solid), "cell").where(chance).select("cell", "node", "vector", "centre", "radius", most.alias("most"))
+    # what lies beyond half the radius is drawn by its own count: few far vectors are all drawn, so that no split leaves a ball as wide as it was
+    far, solid = F.col("d") > F.col("radius") / 2, F.col("radius") < reach / 4
+    wide = members.join(large.where(~solid).select("cell", "n", "centre", "radius"), "cell")
+    shell = wide.where(far).groupBy("cell").agg(F.count("*").alias("n_far"))
+    among = F.when(far, F.col("n_far")).otherwise(F.col("n"))
+    chance = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(1 << 30)) < F.lit(float(SAMPLE << 30)) / among
+    most = F.least(F.lit(MAX_CENTRES), F.greatest(F.lit(2), F.ceil(2 * F.col("n") / CELL)))
+    drawn = wide.join(shell, "cell").where(chance).select("cell", "node", "vector", "centre", "radius", most.alias("most"))
     nets = drawn.groupBy("cell").applyInPandas(_net, "cell string, centres array<array<double>>")
     large = materialize(large.join(nets, "cell", "left").withColumn("centres", F.coalesce("centres", F.array("centre"))), "nets")
     joined = members.join(large.select("cell", "n", "centres", solid.alias("solid")), "cell", "left")

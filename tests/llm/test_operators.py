@@ -271,3 +271,20 @@ def test_cover_tree_invariants_and_traversal(monkeypatch):
         close = embeddings._apart(x, other.x) <= 0.2
         both = seen if other is not tree else seen + seen.T + np.eye(len(x), dtype=int)
         assert (both[close] > 0).all()
+
+
+@pytest.mark.parametrize("n, far, cell, sample, levels", [(400, 1, 64, 8, 4), (3000, 20, 500, 64, 5)])
+def test_far_vectors_do_not_hold_up_the_splits(spark, monkeypatch, n, far, cell, sample, levels):
+    """Near-equal vectors and a few far ones: the far ones are in every net, so that the balls shrink at each level."""
+    np = pytest.importorskip("numpy")
+    monkeypatch.setattr(embeddings, "CELL", cell)
+    monkeypatch.setattr(embeddings, "SAMPLE", sample)
+    rng, split, seen = np.random.default_rng(3), embeddings._split, []
+    monkeypatch.setattr(embeddings, "_split", lambda *a: seen.append(1) or split(*a))
+    base = rng.normal(size=16)
+    x = np.vstack([base + rng.normal(size=(n, 16)) * 1e-3, -base + rng.normal(size=(far, 16)) * 2])
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(rows).collect()} == dict(enumerate(links.tolist()))
+    assert len(seen) <= levels
