@@ -282,9 +282,13 @@ def decide(calls: DataFrame, threshold: str = "HIGH", stages: Sequence[str] = ST
 
 
 def apply_advice(decisions: DataFrame, advice: DataFrame) -> DataFrame:
-    """Advice by tool: a risk of 0.85 that suggests a block blocks, of 0.6 turns ALLOW into an approval; never the other way."""
-    known = advice.groupBy("tool_name").agg(F.max_by(F.struct("risk", "suggests_block"), "risk").alias("_a"))
-    rows = decisions.withColumnRenamed("risk", "_risk").join(known, "tool_name", "left").withColumnRenamed("_risk", "risk")
+    """Advice by tool, or by tool and arguments where both sides have ``args_hash`` (``ledger.args_hash``).
+
+    A risk of 0.85 that suggests a block blocks, of 0.6 turns ALLOW into an approval; never the other way.
+    """
+    key = ["tool_name", *(["args_hash"] if "args_hash" in advice.columns and "args_hash" in decisions.columns else [])]
+    known = advice.groupBy(*key).agg(F.max_by(F.struct("risk", "suggests_block"), "risk").alias("_a"))
+    rows = decisions.withColumnRenamed("risk", "_risk").join(known, key, "left").withColumnRenamed("_risk", "risk")
     base = F.col("action").isin("ALLOW", "REDACT")
     action = F.when(base & (F.col("_a.risk") >= 0.85) & F.col("_a.suggests_block"), "BLOCK").when((F.col("action") == "ALLOW") & (F.col("_a.risk") >= 0.6), "REQUIRES_APPROVAL").otherwise(F.col("action"))
     return rows.withColumn("advised_action", action).drop("_a")

@@ -175,10 +175,16 @@ def _pauses(spark, sf):
     return calls(spark, sf).where("event_id % 4 = 0").select(F.concat(F.lit("p_"), F.col("event_id").cast("string")).alias("pause_id"), F.lit("user").alias("scope"), F.col("user_id").alias("scope_key"), F.col("ts").alias("start_ts"), (F.col("ts") + F.expr("INTERVAL 2 HOURS")).alias("end_ts"), F.when(F.col("event_id") % 16 == 0, "too short").otherwise("planned maintenance of the mail gateway").alias("reason"))
 
 
-@query("w11_pause_effective", f", p AS ({_PAUSES}), r AS ({_RESUMES}) SELECT p.pause_id, p.start_ts, least(p.end_ts, coalesce(r.ts, p.end_ts)) AS end_ts, r.ts IS NOT NULL AS by_resume FROM p LEFT JOIN r USING (pause_id)", calls_sql=True)
+@query("w11_pause_effective", f""", p AS ({_PAUSES}), r AS ({_RESUMES}), e AS (SELECT p.pause_id, scope_key, p.start_ts, least(p.end_ts, coalesce(r.ts, p.end_ts)) AS end_ts, r.ts IS NOT NULL AS by_resume FROM p LEFT JOIN r USING (pause_id)),
+b AS (SELECT request_id, pause_id FROM calls JOIN e ON user_id = scope_key AND ts >= start_ts AND ts < end_ts QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY start_ts DESC, pause_id) = 1),
+n AS (SELECT pause_id, count(*) AS n FROM b GROUP BY 1)
+SELECT pause_id, start_ts, end_ts, by_resume, coalesce(n, 0) AS calls_observed, CASE WHEN by_resume THEN substr(pause_id, 3)::BIGINT % 16 = 0 ELSE coalesce(n, 0) > 0 END AS scrutiny_opened FROM e LEFT JOIN n USING (pause_id)""", calls_sql=True)
 def w11(spark, sf):
-    resumes = calls(spark, sf).where("event_id % 8 = 0").select(F.concat(F.lit("p_"), F.col("event_id").cast("string")).alias("pause_id"), (F.col("ts") + F.expr("INTERVAL 40 MINUTES")).alias("ts"))
-    return flow.pause_effective(_pauses(spark, sf), resumes).select("pause_id", "start_ts", "end_ts", "by_resume")
+    """Pauses of users with the calls that they let through; every other resume names a session."""
+    c = calls(spark, sf)
+    resumes = c.where("event_id % 8 = 0").select(F.concat(F.lit("p_"), F.col("event_id").cast("string")).alias("pause_id"), (F.col("ts") + F.expr("INTERVAL 40 MINUTES")).alias("ts"), F.when(F.col("event_id") % 16 == 0, F.col("session_id")).alias("session_id"))
+    found = flow.pause_effective(_pauses(spark, sf), resumes, c.select("request_id", "ts", "session_id", "user_id", "tenant_id"))
+    return found.select("pause_id", "start_ts", "end_ts", "by_resume", "calls_observed", "scrutiny_opened")
 
 
 @query("r15_validate_pauses", ", p AS (SELECT event_id, 'p_' || event_id AS pause_id, user_id, ts AS s, ts + INTERVAL 2 HOUR AS e, CASE WHEN event_id % 16 = 0 THEN 'REASON_TOO_SHORT' END AS r FROM calls WHERE event_id % 4 = 0) SELECT pause_id, coalesce(r, CASE WHEN max(CASE WHEN r IS NULL THEN e END) OVER (PARTITION BY user_id ORDER BY s, pause_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > s THEN 'ALREADY_PAUSED' END) AS refused FROM p", calls_sql=True)

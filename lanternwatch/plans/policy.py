@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from lanternwatch.functions.fixed_pii import V1
 from lanternwatch.functions.regexes import quoted
 from lanternwatch.operators import audit, flow, ledger, pii, policy, sequence
-from lanternwatch.plans.common import ORACLE_SQL, calls, query, table, texts
+from lanternwatch.plans.common import ORACLE_SQL, calls, query, settled, table, texts
 from lanternwatch.sources.calls import CALLS_SQL
 
 
@@ -217,6 +217,15 @@ def r10(spark, sf):
 _HINT_SQL = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS framework, count(*) AS n_types, least(1.0::DOUBLE, {base}::DOUBLE + {step}::DOUBLE * count(*)) AS confidence FROM t WHERE type IN ({', '.join(repr(x) for x in types)}) GROUP BY 1" for n, (types, base, step) in policy.FRAMEWORKS.items())
 
 
+@query("r10_advice_by_arguments", f", {DECIDED_SQL}, advice AS (SELECT tool_name, args, avg(k) / 50 AS risk, avg(k) / 100 > 0.4 AS suggests_block FROM calls GROUP BY ALL) SELECT d.request_id, d.action, CASE WHEN d.action IN ('ALLOW', 'REDACT') AND a.risk >= 0.85 AND suggests_block THEN 'BLOCK' WHEN d.action = 'ALLOW' AND a.risk >= 0.6 THEN 'REQUIRES_APPROVAL' ELSE d.action END AS advised_action FROM decided d JOIN calls c USING (request_id) LEFT JOIN advice a ON a.tool_name = c.tool_name AND a.args = c.args", calls_sql=True)
+def r10_arguments(spark, sf):
+    """Advice on a tool with these very arguments, by their hash."""
+    hashed = settled(calls(spark, sf).select("request_id", "tool_name", "k", ledger.args_hash(F.col("args")).alias("args_hash")))
+    advice = hashed.groupBy("tool_name", "args_hash").agg((F.avg("k") / 50).alias("risk"), (F.avg("k") / 100 > 0.4).alias("suggests_block"))
+    decisions = _decided(spark, sf).join(hashed.select("request_id", "args_hash"), "request_id")
+    return policy.apply_advice(decisions, advice).select("request_id", "action", "advised_action")
+
+
 @query("r11_regulatory_hints", "WITH t AS (SELECT DISTINCT doc_id, type FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{p.name}' AS type FROM documents WHERE {p.sql_found('text')}" for p in V1) + f")) SELECT doc_id, framework, n_types, round(confidence, 6) AS confidence FROM ({_HINT_SQL} UNION ALL SELECT doc_id, 'PCI_DSS', 1, 0.8::DOUBLE FROM t WHERE type = 'CREDIT_CARD')")
 def r11(spark, sf):
     found = pii.scan_pii_v1(texts(spark, sf, "documents"), ["doc_id"]).withColumn("confidence", F.lit(0.8))

@@ -101,3 +101,21 @@ def test_taint_without_a_store(spark):
     assert pairs(flow.dataflow_join(o, c, window=1800, keep=None)) == {("c1", "o")}
     first = lambda keep: {(r["request_id"], r["source_id"], round(r["similarity"], 9)) for r in flow.taint_similarity(o.where("t < 40"), c, keep=keep).collect()}
     assert first(None) == first(50) != set()  # the hash join is the pairwise measure
+
+
+def test_advice_by_tool_and_by_arguments(spark):
+    decisions = spark.createDataFrame([("1", "t", "h1", "ALLOW", "LOW"), ("2", "t", "h2", "ALLOW", "LOW"), ("3", "t", "h1", "BLOCK", "HIGH"), ("4", "u", "h1", "REDACT", "LOW")], "request_id string, tool_name string, args_hash string, action string, risk string")
+    advice = spark.createDataFrame([("t", "h1", 0.9, True), ("t", "h2", 0.7, True), ("u", "h1", 0.7, True)], "tool_name string, args_hash string, risk double, suggests_block boolean")
+    found = lambda a: {r["request_id"]: r["advised_action"] for r in policy.apply_advice(decisions, a).collect()}
+    assert found(advice) == {"1": "BLOCK", "2": "REQUIRES_APPROVAL", "3": "BLOCK", "4": "REDACT"}
+    assert found(advice.drop("args_hash")) == {"1": "BLOCK", "2": "BLOCK", "3": "BLOCK", "4": "REDACT"}
+
+
+def test_pauses_observe_calls(spark):
+    at = lambda rows, schema, *names: spark.createDataFrame(rows, schema).withColumns({n: F.timestamp_seconds(n) for n in names})
+    pauses = at([("p", "user", "u", 0, 7200), ("q", "session", "s", 100, 200), ("r", "tenant", "t", 0, 9000), ("x", "user", "none", 0, 50)], "pause_id string, scope string, scope_key string, start_ts long, end_ts long", "start_ts", "end_ts")
+    resumes = at([("r", 5000, "s"), ("r", 6000, None)], "pause_id string, ts long, session_id string", "ts")
+    calls = at([("1", 150, "s", "u", "t"), ("2", 200, "s", "u", "t"), ("3", 4000, "z", "u", "t"), ("4", 4999, "z", "v", "t"), ("5", 5000, "z", "v", "t"), ("6", 7200, "z", "u", "t")], "request_id string, ts long, session_id string, user_id string, tenant_id string", "ts")
+    got = {r["pause_id"]: (r["calls_observed"], r["scrutiny_opened"]) for r in flow.pause_effective(pauses, resumes, calls).collect()}
+    assert got == {"p": (2, True), "q": (1, True), "r": (1, True), "x": (0, False)}
+    assert "calls_observed" not in flow.pause_effective(pauses, resumes).columns
