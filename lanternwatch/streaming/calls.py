@@ -103,3 +103,29 @@ def apply_pauses_to(decisions: DataFrame, pauses: Callable[[], DataFrame], sink:
 def replay(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Runs a stream over what is there now and waits for its end."""
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def table_sink(folder: str, tables: dict[str, Callable[[DataFrame], DataFrame]]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink of several tables, exactly once: each batch is written under its number.
+
+    A batch that is repeated after a failure, even between two of its tables, replaces what it wrote before. ``folder/name``
+    is read as one table with a ``batch`` column.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
+        try:
+            for name, make in tables.items():
+                make(kept).write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        finally:
+            kept.unpersist()
+
+    return write
+
+
+def scan_live(calls: DataFrame, folder: str, checkpoint: str) -> None:
+    """What all rules say of a stream's calls (``findings``), and the audit rows of the decisions on them (``audit``)."""
+    from lanternwatch.operators.audit import call_log_to_audit
+
+    tables = {"findings": policy.apply_rules, "audit": lambda batch: call_log_to_audit(policy.decide(batch))}
+    replay(calls, table_sink(folder, tables), checkpoint)

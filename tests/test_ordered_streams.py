@@ -150,3 +150,27 @@ def test_provider_is_set_only_where_it_is_the_default(spark):
     ordered.use_rocksdb(spark)
     assert spark.conf.get(ordered.PROVIDER) == "my.own.Provider"
     spark.conf.set(ordered.PROVIDER, before)
+
+
+def test_sink_writes_each_batch_once(spark, tmp_path):
+    """A failure between two tables, then the batch again, then a second batch."""
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    failing = streams.table_sink(str(tmp_path), {"a": lambda b: b, "b": lambda b: b.where("no_such_column")})
+    with pytest.raises(Exception, match="no_such_column"):
+        failing(rows("1", "2"), 0)
+    sink = streams.table_sink(str(tmp_path), {"a": lambda b: b, "b": lambda b: b.where("id > '1'")})
+    for number, batch in ((0, rows("1", "2")), (1, rows("3")), (1, rows("3"))):
+        sink(batch, number)
+    read = lambda name: sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/{name}").select("id", "batch").collect())
+    assert read("a") == [("1", 0), ("2", 0), ("3", 1)] and read("b") == [("2", 0), ("3", 1)]
+
+
+def test_live_scan_of_all_rules(spark, tmp_path):
+    rows = [("1", "shell.run", '{"command": "rm -rf /"}'), ("2", "submit_payment", "{}"), ("3", "filesystem.list", "{}")]
+    calls = spark.createDataFrame(rows, "request_id string, tool_name string, args string").select("*", F.lit("t").alias("tenant_id"), F.lit("TENANT_ADMIN").alias("role"), F.timestamp_seconds(F.lit(BASE)).alias("ts"))
+    calls.coalesce(1).write.parquet(str(tmp_path / "in"))
+    streams.scan_live(spark.readStream.schema(calls.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"))
+    found = {(r["request_id"], r["rule"]) for r in spark.read.parquet(str(tmp_path / "out/findings")).collect()}
+    assert {("1", "dangerous-shell"), ("2", "payment")} <= found and not any(i == "3" for i, _ in found)
+    audit = spark.read.parquet(str(tmp_path / "out/audit"))
+    assert audit.where("batch = 0").count() == audit.count() >= 6
