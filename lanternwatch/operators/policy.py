@@ -48,10 +48,11 @@ def lookup(key: Column, values: dict) -> Column:
     return F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))]), key)
 
 
-def risk_class(tool: Column) -> Column:
+def risk_class(tool: Column, declared: Column | None = None) -> Column:
+    """The published class of a known tool, else the one it declares itself (null: none), else by the words in its name."""
     lower = F.lower(tool)
     ladder = F.coalesce(*[F.when(lower.rlike(words), c) for c, words in RISK_WORDS], F.lit("READ_ONLY"))
-    return F.coalesce(lookup(lower, RISK_OVERRIDES), ladder)
+    return F.coalesce(lookup(lower, RISK_OVERRIDES), *([] if declared is None else [declared]), ladder)
 
 
 def risk_level(tool: Column) -> Column:

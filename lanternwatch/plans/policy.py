@@ -43,6 +43,13 @@ def f4(spark, sf):
     return calls(spark, sf).select("request_id", policy.risk_class(F.col("tool_name")).alias("risk_class"))
 
 
+@query("f4_declared_risk", f"SELECT request_id, coalesce({_case('lower(tool)', policy.RISK_OVERRIDES)}, declared, {_ladder('tool')}) AS risk_class FROM (SELECT request_id, CASE WHEN event_id % 2 = 0 THEN tool_name ELSE 'my_' || tool_name END AS tool, CASE WHEN k % 3 = 0 THEN 'WRITE' END AS declared FROM calls)", calls_sql=True)
+def f4_declared(spark, sf):
+    """Known tools and tools of one's own, a third of which declare a class."""
+    tool = F.when(F.col("event_id") % 2 == 0, F.col("tool_name")).otherwise(F.concat(F.lit("my_"), "tool_name"))
+    return calls(spark, sf).select("request_id", policy.risk_class(tool, F.when(F.col("k") % 3 == 0, "WRITE")).alias("risk_class"))
+
+
 @query("f5_requires_approval", f"SELECT tool_name, {LEVEL} AS level, {RANK} >= 3 AS needs, count(*) AS n FROM calls GROUP BY ALL", calls_sql=True)
 def f5(spark, sf):
     tool = F.col("tool_name")
