@@ -178,10 +178,10 @@ def with_body(spark, sf):
 
 def _decided_all(spark, sf):
     """Decisions of all ten stages, from the taint, chain and anomaly tables of the same calls."""
-    c = with_body(spark, sf)
+    c = settled(with_body(spark, sf))
     # needles are pieces of plain text, so flows look at the body and not at its JSON form
     sinks = c.select("request_id", "session_id", "ts", "tool_name", F.col("body").alias("args"))
-    taint = flow.taint_flows(outputs_of_reads(spark, sf), sinks, ttl=14400)
+    taint = settled(flow.taint_flows(settled(outputs_of_reads(spark, sf)), sinks, ttl=14400))
     chains = sequence.detect_chains(c, window=86400)
     odd = sequence.detect_anomaly(sequence.detect_first_seen(sequence.detect_burst(spiked(calls(spark, sf)), "n_1h", 5, 20)))
     anomaly = odd.where(F.col("kind").isNotNull()).select("request_id", "score", F.col("kind").alias("reason"))
