@@ -50,12 +50,12 @@ def anomaly_state(calls: DataFrame, late: str = "10 minutes", fold: folds.Anomal
     return ordered_fold(calls, list(sequence.KEY), fold or folds.Anomaly(), {"severe": severe}, late)
 
 
-def chain_state(calls: DataFrame, late: str = "10 minutes", window: int = 300, keep: int = 50, flow: Column | None = None) -> DataFrame:
+def chain_state(calls: DataFrame, late: str = "10 minutes", window: int = 300, keep: int = 50, flow: Column | None = None, lanes: int | None = None) -> DataFrame:
     """Calls that complete a chain, by session, as ``sequence.detect_chains``. ``flow`` says whether a call's arguments hold earlier output."""
     chains = sequence.CHAINS
     two = sum(1 << i for i, c in enumerate(chains) if len(c.steps) == 2)
     fold = folds.Steps([c.name for c in chains], [c.severity for c in chains], two, window, keep)
-    return ordered_fold(calls, ["session_id"], fold, {**sequence.chain_masks(), "flow": F.lit(False) if flow is None else flow}, late)
+    return ordered_fold(calls, ["session_id"], fold, {**sequence.chain_masks(), "flow": F.lit(False) if flow is None else flow}, late, lanes=lanes)
 
 
 def bucket_state(requests: DataFrame, key: str, capacity: float = 60.0, per_second: float = 1.0, late: str = "10 minutes") -> DataFrame:
@@ -84,13 +84,13 @@ def scrutiny_state(events: DataFrame, ttl: int = 15 * 60, late: str = "10 minute
     return ordered_fold(rows, ["tenant_id", "session_id"], folds.Scrutiny(ttl), {"calls": calls}, late)
 
 
-def approval_states(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+def approval_states(events: DataFrame, late: str = "10 minutes", lanes: int | None = None) -> DataFrame:
     """``approval_id, status, us`` of each change of an approval; EXPIRED comes from an event-time timer once the watermark passes ``expires_at``.
 
     An approval's newest row is what ``sequence.approval_state`` says as of the watermark.
     """
     rows = events.withColumn("request_id", F.col("event"))
-    return ordered_fold(rows, ["approval_id"], folds.Approval(), {"event": F.col("event"), "expires_us": F.unix_micros("expires_at")}, late)
+    return ordered_fold(rows, ["approval_id"], folds.Approval(), {"event": F.col("event"), "expires_us": F.unix_micros("expires_at")}, late, lanes=lanes)
 
 
 def apply_pauses_to(decisions: DataFrame, pauses: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:

@@ -174,3 +174,10 @@ def test_live_scan_of_all_rules(spark, tmp_path):
     assert {("1", "dangerous-shell"), ("2", "payment")} <= found and not any(i == "3" for i, _ in found)
     audit = spark.read.parquet(str(tmp_path / "out/audit"))
     assert audit.where("batch = 0").count() == audit.count() >= 6
+
+
+def test_lanes_give_what_keys_give(world, tmp_path):
+    """Keys that share groups by hash, released in slices."""
+    batch, read = world
+    want = by_id(replayed(streams.chain_state(read(), LATE, 60), tmp_path / "keys"), "session_id", "chain_id", "confidence")
+    assert want and by_id(replayed(streams.chain_state(read(), LATE, 60, lanes=2), tmp_path / "lanes"), "session_id", "chain_id", "confidence") == want
