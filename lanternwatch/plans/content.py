@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lanternwatch.functions.fixed_injection import BROWSER, DEFENSIVE, EXTENDED, MULTILINGUAL, OFFENSIVE, STANDARD, STRUCTURAL
 from lanternwatch.functions.fixed_pii import LABELS, PHI, SECRETS, V1, V2
-from lanternwatch.functions.regexes import quoted
+from lanternwatch.functions.regexes import let, quoted, readings
 from lanternwatch.operators import injection, pii
 from lanternwatch.plans.common import calls, query, table, texts
 
@@ -208,8 +208,10 @@ def _samples_sql(patterns) -> str:
 def i12(spark, sf):
     """Personal data, secrets and injections of a document in one pass, with samples of six characters at most."""
     docs = texts(spark, sf, "documents")
-    col = F.col("text")
-    short = lambda a: F.transform(a, lambda x: F.concat(x["type"], F.lit(":"), F.substring(x["value"], 1, 6)))
-    secrets = F.concat(*[pii.typed_matches(p, "text") for p in SECRETS])
-    flat = F.concat(*[pii.typed_matches(p, "text") for p in V1])
-    return docs.select("doc_id", F.array_join(short(flat), "|").alias("pii"), F.array_join(short(secrets), "|").alias("secrets"), F.size(injection.standard(col)).alias("n_injections"))
+    short = lambda a: F.array_join(F.transform(a, lambda x: F.concat(x["type"], F.lit(":"), F.substring(x["value"], 1, 6))), "|")
+    all_of = lambda patterns, r: short(F.concat(*[pii.typed_matches(p, r) for p in patterns]))
+
+    def scanned(r):
+        return F.struct(all_of(V1, r).alias("pii"), all_of(SECRETS, r).alias("secrets"), F.size(injection.hits(r, STANDARD, "standard")).alias("n_injections"))
+
+    return docs.select("doc_id", let(readings(F.col("text")), scanned).alias("f")).select("doc_id", "f.*")
