@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 from lanternwatch.functions.regexes import Pattern
 from lanternwatch.operators.folds import Cache, Circuit, fold_table
 from lanternwatch.operators.policy import risk_class
+from lanternwatch.streaming.shared import settled
 
 KEY = ("tenant_id", "agent_id", "tool_name")
 MINUTE, HOUR, DAY = 60, 3600, 86400
@@ -118,20 +119,27 @@ CHAINS = [
 ]
 
 
-def chain_matches(c: Chain, args: Column) -> Column:
-    """The last calls match the steps; ``_tool<i>`` and ``_recent<i>`` are the tool and freshness i calls back."""
+def steps_match(c: Chain) -> Column:
+    """The tools of the last calls match the steps; ``_tool<i>`` and ``_recent<i>`` are the tool and freshness i calls back."""
     k = len(c.steps)
     hit = F.lit(True)
     for i, step in enumerate(c.steps):
         back = k - 1 - i
         hit = hit & F.coalesce(F.col(f"_tool{back}").rlike(step) & F.col(f"_recent{back}"), F.lit(False))
-    if c.trigger:
-        hit = hit & Pattern("", c.trigger, "i").found(args)
-    if c.unless:
-        hit = hit & ~Pattern("", c.unless, "i").found(args)
     return hit
 
 
+def asked_for(c: Chain, args: Column) -> Column:
+    """The arguments have the chain's trigger and not what excuses them."""
+    hit = Pattern("", c.trigger, "i").found(args) if c.trigger else F.lit(True)
+    return hit & ~Pattern("", c.unless, "i").found(args) if c.unless else hit
+
+
+def chain_matches(c: Chain, args: Column) -> Column:
+    """The last calls match the steps, and the last one's arguments are what the chain asks for."""
+    return steps_match(c) & asked_for(c, args)
+
+
 def chain_masks(args: str = "args", chains: Sequence[Chain] = tuple(CHAINS)) -> dict[str, Column]:
     """What ``folds.Steps`` reads of a call: chains whose last step it is (trigger included), whose step one back, whose step two back."""
     bits = lambda test: sum((F.when(c, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in test), F.lit(0).cast("long"))
@@ -149,12 +157,13 @@ def chain_masks(args: str = "args", chains: Sequence[Chain] = tuple(CHAINS)) ->
     }
 
 
-def detect_chains(calls: DataFrame, chains: Sequence[Chain] = tuple(CHAINS), window: int = 5 * MINUTE, keep: int = 50, flows: DataFrame | None = None) -> DataFrame:
+def detect_chains(calls: DataFrame, chains: Sequence[Chain] = tuple(CHAINS), window: int = 5 * MINUTE, keep: int = 50, flows: DataFrame | None = None, with_args: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``request_id, session_id, chain_id, severity, all_chains, confidence`` of the calls that complete a chain.
 
     Confidence: severity times a decay of the time since the oldest call in the
     window (of the last ``keep``; 0.5 at least, 1 up to a minute), times 0.85
     for calls that are not in ``flows`` (``request_id`` of ``flow.dataflow_join``).
+    ``with_args`` adds ``args`` to calls that come without; only those whose tools match a chain get them.
     """
     order = W.partitionBy("session_id").orderBy("ts", "request_id")
     longest = max(len(c.steps) for c in chains)
@@ -163,8 +172,15 @@ def detect_chains(calls: DataFrame, chains: Sequence[Chain] = tuple(CHAINS), win
     inside = F.min(F.unix_micros("ts")).over(W.partitionBy("session_id").orderBy(F.unix_micros("ts")).rangeBetween(-window * 1_000_000, 0))
     oldest = F.greatest(inside, F.unix_micros(F.lag("ts", keep - 1).over(order)))
     rows = calls.withColumns({**back, **age, "_span": (F.unix_micros("ts") - oldest) / 1e6})
-    hits = F.array_compact(F.array(*[F.when(chain_matches(c, F.col("args")), F.struct(F.lit(c.name).alias("id"), F.lit(c.severity).alias("severity"))) for c in chains]))
     decay = F.least(F.lit(1.0), F.greatest(F.lit(0.5), 1 - (F.col("_span") - 60) / window))
+    named = lambda c: F.struct(F.lit(c.name).alias("id"), F.lit(c.severity).alias("severity"))
+    if with_args is None:
+        hits = F.array_compact(F.array(*[F.when(chain_matches(c, F.col("args")), named(c)) for c in chains]))
+    else:
+        stepped = F.array_compact(F.array(*[F.when(steps_match(c), F.lit(i)) for i, c in enumerate(chains)]))
+        near = settled(rows.withColumn("_steps", stepped).where(F.size("_steps") > 0).select(*calls.columns, "_span", "_steps"))
+        rows = with_args(near)
+        hits = F.array_compact(F.array(*[F.when(F.array_contains("_steps", i) & asked_for(c, F.col("args")), named(c)) for i, c in enumerate(chains)]))
     found = rows.select("request_id", "session_id", hits.alias("h"), decay.alias("d")).where(F.size("h") > 0)
     weight = F.lit(0.85)
     if flows is not None:
