@@ -15,11 +15,11 @@ is left to compare across the boundaries of buckets:
 * Suffixes that agree in 16 bytes but not in 84: one of each kind fetches its
   84 bytes and meets the others that agree in 33 bytes to either side (every
   50-byte window covers one of these); there its windows are compared one by
-  one.
+  one. Only the bytes that the windows of a side can touch are sent, compressed.
 
 The text is shuffled once, by document groups, for the second step and for the
-cutting. Leading bytes are compared as they are, the bytes around them by a hash
-of 48 bits more.
+cutting; the shuffle of the suffixes is removed before. Leading bytes are
+compared as they are, the bytes around them by a hash of 48 bits more.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ LENGTH, GRAM = 50, 16
 LEFT = LENGTH - GRAM  # bytes before an anchor that a window around it can reach
 SPAN = LEFT + LENGTH
 SIDE = 17  # one of the sides of an anchor has at least so many bytes of a window
+#: Of the SPAN bytes, those that a window with SIDE bytes before the anchor, or with fewer, can touch.
+REACH = ((0, LEFT - SIDE + LENGTH), (LEFT - SIDE + 1, SPAN))
 #: Bytes of text a task hashes at once, which bounds its memory; longer texts go in overlapping pieces.
 PIECE = 1 << 21
 DOCS_PER_GROUP = 1024
@@ -85,6 +87,14 @@ def unpack_all(blobs, widths: tuple[int, ...]) -> list[np.ndarray]:
     return [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.uint64) for i in range(len(widths))]
 
 
+def pack_spans(span: np.ndarray) -> bytes:
+    return _SQUEEZE.compress(span.tobytes())
+
+
+def unpack_spans(blobs, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(_STRETCH.decompress(b) for b in blobs), np.uint8).reshape(-1, width)
+
+
 def by_group(groups: np.ndarray, *columns: tuple[np.ndarray, int]) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(groups, kind="stable")
     values, starts = np.unique(groups[order], return_index=True)
@@ -241,6 +251,12 @@ def _compare(buckets: int, groups: int):
     return run
 
 
+def _routes(span: np.ndarray, side: int) -> np.ndarray:
+    """Hashes of the bytes from SIDE before the anchor to its end, or from its beginning to SIDE behind it."""
+    a = LEFT - SIDE if side == 0 else LEFT
+    return _mix((_BYTE[span[:, a : a + GRAM + SIDE]] * _POWER[: GRAM + SIDE]).sum(axis=1) + np.uint64(side))
+
+
 def _fetch(buckets: int):
     def run(docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         did, tag, place = unpack_all(asked["blob"], REQUEST)
@@ -255,16 +271,15 @@ def _fetch(buckets: int):
                 raw = of[d, t]
                 left[i], right[i] = min(p, LEFT), min(len(raw) - p, LENGTH)
                 span[i, LEFT - left[i] : LEFT + right[i]] = np.frombuffer(raw, np.uint8, left[i] + right[i], p - left[i])
-            body = _BYTE[span]
-            for side, a, has in ((0, LEFT - SIDE, left >= SIDE), (1, LEFT, right >= GRAM + SIDE)):
-                route = _mix((body[has, a : a + GRAM + SIDE] * _POWER[: GRAM + SIDE]).sum(axis=1) + np.uint64(side))
-                at = np.flatnonzero(has)
+            for side, has in ((0, left >= SIDE), (1, right >= GRAM + SIDE)):
+                at, (a, b) = np.flatnonzero(has), REACH[side]
+                route = _routes(span[at], side)
                 target = (route & np.uint64(buckets - 1)).astype(np.int64)
-                order = np.argsort(target, kind="stable")
+                order = np.lexsort((route, target))
                 values, starts = np.unique(target[order], return_index=True)
                 for v, x, y in zip(values, starts, np.append(starts, len(order))[1:], strict=True):
-                    pick = order[x:y]
-                    rows.append((int(v), side, pack((route[pick], 8), (did[at[pick]], 8), (tag[at[pick]], 2), (place[at[pick]], 4), (left[at[pick]], 1), (right[at[pick]], 1)), span[at[pick]].tobytes()))
+                    pick = at[order[x:y]]
+                    rows.append((int(v), side, pack((did[pick], 8), (tag[pick], 2), (place[pick], 4), (left[pick], 1), (right[pick], 1)), pack_spans(span[pick, a:b])))
         return pd.DataFrame(rows, columns=["bucket", "side", "blob", "spans"])
 
     return run
@@ -275,11 +290,14 @@ def _windows(groups: int):
         rows = []
         for side in (0, 1):
             part = pdf[pdf["side"] == side]
-            route, did, tag, place, left, right = unpack_all(part["blob"], (8, 8, 2, 4, 1, 1))
-            if not len(route):
+            did, tag, place, left, right = unpack_all(part["blob"], (8, 2, 4, 1, 1))
+            if not len(did):
                 continue
             did, place, left, right = did.view(np.int64), place.astype(np.int64), left.astype(np.int64), right.astype(np.int64)
-            span = np.frombuffer(b"".join(part["spans"]), np.uint8).reshape(-1, SPAN)
+            a, b = REACH[side]
+            span = np.zeros((len(did), SPAN), np.uint8)
+            span[:, a:b] = unpack_spans(part["spans"], b - a)
+            route = _routes(span, side)
             order = np.lexsort((did, route))
             route, did, tag, place, left, right, span = (x[order] for x in (route, did, tag, place, left, right, span))
             new = np.append(True, route[1:] != route[:-1])
